@@ -27,11 +27,10 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _byte_table(seed: int) -> np.ndarray:
-    """A random value for each byte, capital ASCII letters taking those of the small ones."""
-    table = mix64(np.arange(256, dtype=U64) * U64(0x9E3779B97F4A7C15) + U64(seed))
-    table[65:91] = table[97:123]
-    return table
+#: A random value for each byte; in FOLDED capital ASCII letters have those of the small ones.
+EXACT = mix64(np.arange(256, dtype=U64) * U64(0x9E3779B97F4A7C15) + U64(0x5EED))
+FOLDED = EXACT.copy()
+FOLDED[65:91] = FOLDED[97:123]
 
 
 def _class_table(separators: str) -> np.ndarray:
@@ -47,7 +46,6 @@ NON_SPACE = _class_table("\x20\x09\x0a\x0b\x0c\x0d")
 
 _MULTIPLIER = 0x9E3779B97F4A7C55
 _INVERSE = pow(_MULTIPLIER, -1, 1 << 64)
-_BYTES = _byte_table(0x5EED)
 _powers: list[np.ndarray] = [np.ones(1, U64), np.ones(1, U64)]
 
 
@@ -96,12 +94,12 @@ class Words:
         """The word, ASCII letters in lower case."""
         return self.block.data[self.start[i] : self.end[i]].tobytes().lower()
 
-    def hashes(self) -> np.ndarray:
-        """A 64-bit hash of each word, its ASCII letters taken as lower case."""
+    def hashes(self, fold: bool = True) -> np.ndarray:
+        """A 64-bit hash of each word; with fold, ASCII letters count as lower case."""
         n = len(self.block.data)
         _grow(n)
         total = np.zeros(n + 1, U64)
-        np.cumsum(_BYTES[self.block.data] * _powers[0][:n], out=total[1:])
+        np.cumsum((FOLDED if fold else EXACT)[self.block.data] * _powers[0][:n], out=total[1:])
         return mix64((total[self.end] - total[self.start]) * _powers[1][self.start] + (self.end - self.start).astype(U64))
 
     def shingles(self, size: int) -> tuple[np.ndarray, np.ndarray]:

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from veilspan.llm import license_scan
+from veilspan.llm import license_scan, packing
 from veilspan.llm._spark import table
 
 
@@ -36,8 +37,15 @@ SELECT doc_id, len(w)::BIGINT AS n_words, len(p)::BIGINT AS n_base, list_min(p):
 FROM placed"""
 
 
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def queries() -> dict:
-    return {"op1_license_scan": op1_license_scan}
+    return {
+        "op1_license_scan": op1_license_scan,
+        "op5_packing": op5_packing,
+    }
 
 
 def oracle_sql() -> dict:
