@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from veilspan.llm import bpe, license_scan, packing
+from veilspan.llm import bpe, fingerprints, license_scan, packing
 from veilspan.llm._spark import table
 
 
@@ -41,6 +41,10 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.neighbours(table(spark, sf_dir, "documents"))
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -49,6 +53,7 @@ def queries() -> dict:
     return {
         "op1_license_scan": op1_license_scan,
         "op5_packing": op5_packing,
+        "op6_fingerprints": op6_fingerprints,
         "op8_bpe": op8_bpe,
     }
 
