@@ -13,6 +13,8 @@ import pyarrow as pa
 
 #: Bytes of text handled at once; a longer text is a block of its own.
 BLOCK_BYTES = 1 << 20
+#: Bytes of text hashed at once.
+HASHED_BYTES = 1 << 18
 
 U64 = np.uint64
 
@@ -51,7 +53,7 @@ _powers: list[np.ndarray] = [np.ones(1, U64), np.ones(1, U64)]
 
 def _grow(n: int) -> None:
     if len(_powers[0]) <= n:
-        size = max(n + 1, BLOCK_BYTES + (1 << 16))
+        size = max(n + 1, HASHED_BYTES + (1 << 12))
         for k, base in enumerate((_MULTIPLIER, _INVERSE)):
             steps = np.full(size, base, U64)
             steps[0] = 1
@@ -96,11 +98,19 @@ class Words:
 
     def hashes(self, fold: bool = True) -> np.ndarray:
         """A 64-bit hash of each word; with fold, ASCII letters count as lower case."""
-        n = len(self.block.data)
-        _grow(n)
-        total = np.zeros(n + 1, U64)
-        np.cumsum((FOLDED if fold else EXACT)[self.block.data] * _powers[0][:n], out=total[1:])
-        return mix64((total[self.end] - total[self.start]) * _powers[1][self.start] + (self.end - self.start).astype(U64))
+        table, data = FOLDED if fold else EXACT, self.block.data
+        out, low = np.empty(len(self.start), U64), 0
+        while low < len(self.start):  # some bytes at a time, so that the sums stay in the cache
+            at = int(self.start[low])
+            high = max(low + 1, int(np.searchsorted(self.end, at + HASHED_BYTES, "right")))
+            start, end = self.start[low:high] - at, self.end[low:high] - at
+            n = int(end[-1])
+            _grow(n)
+            total = np.zeros(n + 1, U64)
+            np.cumsum(table[data[at : at + n]] * _powers[0][:n], out=total[1:])
+            out[low:high] = mix64((total[end] - total[start]) * _powers[1][start] + (end - start).astype(U64))
+            low = high
+        return out
 
     def shingles(self, size: int) -> tuple[np.ndarray, np.ndarray]:
         """Hashes of each run of size words, and how many each text has. A text with fewer words but one or more has

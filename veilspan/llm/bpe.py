@@ -26,20 +26,12 @@ from pyspark.sql import functions as F
 from veilspan.llm import _spark, _text, _tokens
 
 
-def byte_letters() -> dict[str, int]:
-    """The letter that stands for each byte in a byte-level vocabulary: printable Latin-1 ones for themselves, the
-    others by the letters from 256 on."""
-    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    rest = [b for b in range(256) if b not in own]
-    return {chr(b): b for b in own} | {chr(256 + k): b for k, b in enumerate(rest)}
-
-
 class Codec:
     """Encoder and decoder of one byte-level file."""
 
     def __init__(self, path: str):
         made = _tokens.described(path)
-        letters = byte_letters()
+        letters = _tokens.byte_letters()
         level = made["pre_tokenizer"]
         if made["model"]["type"] != "BPE" or level["type"] != "ByteLevel" or level["add_prefix_space"] or made["normalizer"]:
             raise ValueError("a byte-level BPE file without normalizer and prefix space is needed")
