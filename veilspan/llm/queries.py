@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from veilspan.llm import bpe, fingerprints, license_scan, packing
+from veilspan.llm import bpe, fingerprints, license_scan, packing, toxicity
 from veilspan.llm._spark import table
 
 
@@ -37,6 +38,12 @@ SELECT doc_id, len(w)::BIGINT AS n_words, len(p)::BIGINT AS n_base, list_min(p):
 FROM placed"""
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = toxicity.train(docs, labels, usable=~toxicity.held_out())
+    return toxicity.score(docs, model).select("doc_id", toxicity.held_out().alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -52,6 +59,7 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict:
     return {
         "op1_license_scan": op1_license_scan,
+        "op2_toxicity": op2_toxicity,
         "op5_packing": op5_packing,
         "op6_fingerprints": op6_fingerprints,
         "op8_bpe": op8_bpe,
