@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilspan.llm import bpe, fingerprints, license_scan, packing, toxicity
+from veilspan.llm import bpe, fingerprints, license_scan, near_dup, packing, toxicity
 from veilspan.llm._spark import table
 
 
@@ -56,6 +56,10 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.near_duplicates(table(spark, sf_dir, "documents")).withColumn("kept", F.col("doc_id") == F.col("class_id"))
+
+
 def queries() -> dict:
     return {
         "op1_license_scan": op1_license_scan,
@@ -63,6 +67,7 @@ def queries() -> dict:
         "op5_packing": op5_packing,
         "op6_fingerprints": op6_fingerprints,
         "op8_bpe": op8_bpe,
+        "op9_near_duplicates": op9_near_duplicates,
     }
 
 
