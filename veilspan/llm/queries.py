@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilspan.llm import bpe, fingerprints, license_scan, near_dup, packing, toxicity
+from veilspan.llm import bpe, fingerprints, knn, license_scan, near_dup, packing, toxicity
 from veilspan.llm._spark import table
 
 
@@ -44,6 +44,23 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).select("doc_id", toxicity.held_out().alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
 
 
+def op4_voronoi_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return knn.knn_join(table(spark, sf_dir, "embeddings"), is_query=F.col("id") % 50 == 0).withColumnRenamed("id", "vec_id")
+
+
+_OP4_SQL = """
+WITH valid AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+  SELECT q.vec_id AS query_id, d.vec_id, list_sum(list_transform(list_zip(q.v, d.v), lambda x: x[1] * x[2]))::BIGINT AS score
+  FROM valid q, valid d WHERE q.vec_id % 50 = 0 AND q.vec_id <> d.vec_id
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM scored
+)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5"""
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -64,6 +81,7 @@ def queries() -> dict:
     return {
         "op1_license_scan": op1_license_scan,
         "op2_toxicity": op2_toxicity,
+        "op4_voronoi_knn": op4_voronoi_knn,
         "op5_packing": op5_packing,
         "op6_fingerprints": op6_fingerprints,
         "op8_bpe": op8_bpe,
@@ -72,4 +90,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    return {"op1_license_scan": _op1_sql()}
+    return {"op1_license_scan": _op1_sql(), "op4_voronoi_knn": _OP4_SQL}
