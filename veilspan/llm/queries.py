@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilspan.llm import bpe, fingerprints, knn, license_scan, near_dup, packing, toxicity
+from veilspan.llm import bpe, fingerprints, knn, license_scan, near_dup, packing, suffix_lm, toxicity
 from veilspan.llm._spark import table
 
 
@@ -77,6 +77,10 @@ def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(table(spark, sf_dir, "documents")).withColumn("kept", F.col("doc_id") == F.col("class_id"))
 
 
+def op10_suffix_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_lm.score(table(spark, sf_dir, "documents"), training=F.crc32(F.col("doc_id").cast("string")) % 10 != 0)
+
+
 def queries() -> dict:
     return {
         "op1_license_scan": op1_license_scan,
@@ -86,6 +90,7 @@ def queries() -> dict:
         "op6_fingerprints": op6_fingerprints,
         "op8_bpe": op8_bpe,
         "op9_near_duplicates": op9_near_duplicates,
+        "op10_suffix_lm": op10_suffix_lm,
     }
 
 
