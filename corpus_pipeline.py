@@ -1,8 +1,57 @@
-"""Placeholder until the stages exist."""
+"""From raw documents to packed training sequences, in four stages.
 
-STAGES: list = []
+Each stage takes (spark, docs, sf_dir) and works on all rows that the stage before it kept: toxic documents go, documents
+of low quality go, one document of each group of near duplicates stays, and what is left is packed. All but the last
+return the columns of documents. Models are fitted on the rows that a stage is given and the labels of sf_dir whose ids
+aren't held out.
+
+No stage fails on nulls, empty or very long texts, repeated rows, empty tables or extra columns; the operators' docstrings
+say what each gives.
+"""
+
+from __future__ import annotations
+
+import uuid
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+
+from veilspan.llm import near_dup, packing, quality, toxicity
+from veilspan.llm._spark import shared_folder, table
+from veilspan.session import ship
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return toxicity.keep_clean(docs, toxicity.train(docs, table(spark, sf_dir, "labels"), usable=~toxicity.held_out()))
+
+
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return quality.keep_good(docs, quality.train(docs, table(spark, sf_dir, "labels"), usable=~toxicity.held_out()))
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return near_dup.keep_one(docs, near_dup.near_duplicates(docs))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES = [("toxicity", drop_toxic), ("quality", keep_quality), ("near_duplicates", drop_near_duplicates), ("packing", pack)]
+
+#: The stages hold trained models and a tokenizer, which SQL can't express.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The packed rows of documents; each stage's rows are written to the shared folder and read again."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for k, (name, stage) in enumerate(STAGES):
+        path = f"{shared_folder(spark)}/stage{k}-{name}-{uuid.uuid4().hex}"
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+    return docs

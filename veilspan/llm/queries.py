@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilspan.llm import bpe, fingerprints, knn, license_scan, near_dup, packing, suffix_lm, toxicity
+from veilspan.llm import bpe, fingerprints, knn, license_scan, near_dup, packing, quality, suffix_lm, toxicity
 from veilspan.llm._spark import table
 
 
@@ -44,6 +44,12 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).select("doc_id", toxicity.held_out().alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
 
 
+def op3_quality_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = quality.train(docs, labels, usable=~toxicity.held_out())
+    return quality.score(docs, model).withColumns({"held_out": toxicity.held_out(), "predicted": (F.col("score") >= quality.KEEP).cast("int")})
+
+
 def op4_voronoi_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return knn.knn_join(table(spark, sf_dir, "embeddings"), is_query=F.col("id") % 50 == 0).withColumnRenamed("id", "vec_id")
 
@@ -85,6 +91,7 @@ def queries() -> dict:
     return {
         "op1_license_scan": op1_license_scan,
         "op2_toxicity": op2_toxicity,
+        "op3_quality_cotraining": op3_quality_cotraining,
         "op4_voronoi_knn": op4_voronoi_knn,
         "op5_packing": op5_packing,
         "op6_fingerprints": op6_fingerprints,
