@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilspan.llm import bpe, fingerprints, knn, license_scan, near_dup, packing, quality, suffix_lm, toxicity
+from veilspan.llm import bpe, fingerprints, knn, license_scan, near_dup, packing, quality, suffix_lm, toxicity, warc
 from veilspan.llm._spark import table
 
 
@@ -75,6 +75,11 @@ def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.neighbours(table(spark, sf_dir, "documents"))
 
 
+def op7_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = warc.derivatives(warc.responses(table(spark, sf_dir, "pages")))
+    return made.select("page_id", "warc_type", "record_id", "refers_to", "concurrent_to", "target_uri", "source_payload_digest", "block_digest", "n_links", "title", F.length("record").cast("long").alias("record_length"), F.sha2("record", 256).alias("record_sha256"))
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -95,6 +100,7 @@ def queries() -> dict:
         "op4_voronoi_knn": op4_voronoi_knn,
         "op5_packing": op5_packing,
         "op6_fingerprints": op6_fingerprints,
+        "op7_warc_derivatives": op7_warc_derivatives,
         "op8_bpe": op8_bpe,
         "op9_near_duplicates": op9_near_duplicates,
         "op10_suffix_lm": op10_suffix_lm,
