@@ -39,17 +39,17 @@ SCALE = 256.0
 
 
 def quantised(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """(id, v): valid vectors as whole numbers, held as doubles."""
+    """(id, v): valid vectors times 256, as doubles that matrix() rounds down."""
     fit = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
     doubles = df.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v")).where(F.col("id").isNotNull() & F.col("v").isNotNull())
-    return doubles.where(F.forall("v", fit)).select("id", F.transform("v", lambda x: F.floor(x * SCALE).cast("double")).alias("v"))
+    return doubles.where(F.forall("v", fit)).select("id", F.transform("v", lambda x: F.greatest(F.least(x * SCALE, F.lit(1e308)), F.lit(-1e308))).alias("v"))
 
 
 def matrix(column: pa.Array, width: int) -> np.ndarray:
-    """A list array as rows of equal width, zeros behind short ones."""
+    """A list array as rows of equal width in whole numbers, zeros behind short ones."""
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     size = np.diff(column.offsets.to_numpy())
-    flat = column.flatten().to_numpy(zero_copy_only=False)
+    flat = np.floor(column.flatten().to_numpy(zero_copy_only=False))
     out = np.zeros((len(column), width))
     if len(flat) == out.size and (size == width).all():
         out[:] = flat.reshape(out.shape)
@@ -65,7 +65,7 @@ def products(queries: np.ndarray, data: np.ndarray) -> np.ndarray:
         return (queries @ data.T).astype(np.int64)
     whole = [np.array([[int(x) for x in row] for row in m], object).reshape(m.shape) for m in (queries, data)]
     exact = whole[0] @ whole[1].T if queries.shape[1] else np.zeros((len(queries), len(data)), object)
-    return np.array([[max(-(2**63), min(2**63 - 1, int(x))) for x in row] for row in exact], np.int64).reshape(len(queries), len(data))
+    return np.array([[max(1 - 2**63, min(2**63 - 1, int(x))) for x in row] for row in exact], np.int64).reshape(len(queries), len(data))
 
 
 def best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
@@ -125,7 +125,7 @@ def knn_join(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding
     width = whole.agg(F.max(F.size("v"))).first()[0]
     centres = np.zeros((len(picked), width))
     for row, v in zip(centres, picked, strict=True):
-        row[: len(v)] = v
+        row[: len(v)] = np.floor(v)
     centres = np.unique(centres, axis=0)
     data = _spark.stored(_cells(whole, centres), "cells")
     asked = data.where(is_query) if is_query is not None else data
@@ -151,7 +151,7 @@ def knn_join(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding
             for p, u in radius.items():
                 most = dots[p, cell] + size[p] * far + u * (size[cell] + far)
                 # the slack covers rounding of the bounds themselves
-                near = np.flatnonzero(most >= least[p] - 1e-6 * np.abs(most) - 1e-6)
+                near = np.flatnonzero(~(most < least[p] - 1e-6 * np.abs(most) - 1e-6))
                 if len(near):
                     for b in range(parts[p]):
                         yield pa.RecordBatch.from_arrays([pa.array(np.full(len(near), p)), pa.array(np.full(len(near), b)), *(batch.column(i).take(pa.array(near)) for i in (0, 1))], names=["p", "b", "id", "v"])
