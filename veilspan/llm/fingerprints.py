@@ -167,14 +167,9 @@ def ranged(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     heads = sorted((r["range"], r["id"]) for r in heads)
     if not heads:
         return placed.select("range", F.lit(0).alias("tail"), "id", "text")
-    before = {heads[k][1]: heads[k - 1][0] for k in range(len(heads))}
-    known = [k for k in before if k is not None]
-    to = F.create_map(*[F.lit(x) for k in known for x in (k, before[k])]) if known else None
-    is_head = F.col("id").isin(known) if known else F.lit(False)
-    target = F.when(is_head, F.element_at(to, F.col("id"))) if known else F.lit(None).cast("long")
-    if None in before:
-        is_head, target = is_head | F.col("id").isNull(), F.when(F.col("id").isNull(), F.lit(before[None])).otherwise(target)
-    tails = chosen.where(is_head).withColumn("range", target.cast("long")).groupBy("range", "id").agg(F.min("text").alias("text"))
+    # a row for each range: small enough to send to all tasks
+    before = spark.createDataFrame([(heads[k][1], heads[k - 1][0]) for k in range(len(heads))], "head long, range long")
+    tails = chosen.join(F.broadcast(before), F.col("id").eqNullSafe(F.col("head"))).groupBy("range", "id").agg(F.min("text").alias("text"))
     both = placed.select("range", F.lit(0).alias("tail"), "id", "text").unionByName(tails.select("range", F.lit(1).alias("tail"), "id", "text"))
     return both.repartition(parts, "range").sortWithinPartitions("range", "tail", F.col("id").desc_nulls_last(), "text")
 
