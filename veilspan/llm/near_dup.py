@@ -158,6 +158,7 @@ def similarities(sets: list[bytes]) -> np.ndarray:
         part = np.zeros((len(sets), int(group[b - 1]) - low + 1), np.float32)
         part[owner[a:b], group[a:b] - low] = 1
         same += part @ part.T
+    np.fill_diagonal(same, size)
     total = size[:, None] + size[None, :] - same
     return np.divide(same, total, out=np.equal.outer(size, size) * 1.0, where=total > 0)
 
