@@ -179,11 +179,11 @@ class Tree:
         suffix = np.where(depth > 0, find(np.maximum(depth - 1, 0), context & ((np.int64(1) << (8 * np.maximum(depth - 1, 0))) - 1)), 0)
         before = np.where(depth > 0, find(np.maximum(depth - 1, 0), context >> 8), 0)
         own = np.concatenate([[True], np.isin(keys[1:], kept)])
-        count = np.zeros((len(keys), self.width))
+        count = np.zeros((len(keys), self.width), np.float32)
         rows = root | use
         count[find(depths[rows], contexts[rows]), self.column[symbols[rows]]] = counts[rows]
-        total = count.sum(axis=1)
-        share = np.zeros((len(keys), self.width))
+        total = count.sum(axis=1, dtype=np.float64)
+        share = np.zeros((len(keys), self.width), np.float32)
         share[0] = (count[0] + 0.5) / (total[0] + 128)
         step = np.zeros((len(keys), self.width), np.int32)
         for d in range(int(depth.max()) + 1):
@@ -192,13 +192,14 @@ class Tree:
                 step[at] = step[suffix[at]]
                 share[at] = share[suffix[at]]
                 mine = at[own[at]]
-                share[mine] = (count[mine] + BACK * share[suffix[mine]]) / (total[mine] + BACK)[:, None]
+                share[mine] = (count[mine] + np.float32(BACK) * share[suffix[mine]]) / (total[mine] + BACK)[:, None].astype(np.float32)
             child = np.flatnonzero(depth == d + 1)
             step[before[child], self.column[context[child] & 255]] = child
         step[:, -2:] = 0
         step[:, -1] = 0
         share[:, -1] = 1.0
-        self.step, self.score = step.ravel(), np.log10(share).astype(np.float32).ravel()
+        del count
+        self.step, self.score = step.ravel(), np.log10(share, out=share).ravel()
         self.states, self.retained = len(keys), int(own.sum())
 
     def scores(self, symbols: np.ndarray, first: np.ndarray) -> np.ndarray:
