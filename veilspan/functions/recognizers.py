@@ -14,7 +14,8 @@ EXTERNAL_PRIORITY = 85
 @dataclass(frozen=True)
 class Recognizer:
     """value is the span; before and after must stand around it. flags: pattern flags. transcript: whether the
-    transcript profile runs it. gate: (kind, argument) of a cheap test that every text with a match passes."""
+    transcript profile runs it. gate: (kind, argument) of a cheap test that every text with a match passes: has (a string),
+    like (a pattern) or words (any of some strings, separated by |, in the text in lower case)."""
 
     name: str
     entity: str
@@ -51,9 +52,9 @@ RECOGNIZERS = (
     Recognizer("git_token", "SECRET", 110, r"(?:\b(?:ghp|gho|ghu|ghs|ghr)_[A-Za-z0-9_]{30,}\b|\bgithub_pat_[A-Za-z0-9_]{50,}\b)", gate=("like", "gh[pousr]_|github_pat_")),
     Recognizer("chat_token", "SECRET", 110, r"\bxox[baprs]-[A-Za-z0-9\-]{20,}\b", gate=("has", "xox")),
     Recognizer("maps_key", "SECRET", 110, r"\bAIza[0-9A-Za-z_\-]{30,}\b", gate=("has", "AIza")),
-    Recognizer("secret_context", "SECRET", 108, r"[A-Za-z0-9_\-./+=]{8,}", _SECRET_WORDS + r"\s*[:=]?\s*[\"']?", r"[\"']?", "(?i)"),
-    Recognizer("bearer", "SECRET", 108, r"[A-Za-z0-9_\-./+=]{16,}", r"\bBearer\s+", r"\b", "(?i)"),
-    Recognizer("card", "CREDIT_CARD", 95, r"\b(?:\d[ -]*?){13,19}\b", valid="card", gate=("like", "[0-9]")),
+    Recognizer("secret_context", "SECRET", 108, r"[A-Za-z0-9_\-./+=]{8,}", _SECRET_WORDS + r"\s*[:=]?\s*[\"']?", r"[\"']?", "(?i)", gate=("words", "api|secret|token|passw|pwd|bearer")),
+    Recognizer("bearer", "SECRET", 108, r"[A-Za-z0-9_\-./+=]{16,}", r"\bBearer\s+", r"\b", "(?i)", gate=("words", "bearer")),
+    Recognizer("card", "CREDIT_CARD", 95, r"\b(?:\d[ -]*?){13,19}\b", valid="card", gate=("like", "[0-9](?:[ -]*[0-9]){12}")),
     Recognizer("iban", "IBAN", 94, r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,4})?\b", flags="(?i)", valid="iban", gate=("like", "[0-9]{2}")),
     Recognizer("ssn", "SSN", 90, r"\b\d{3}-?\d{2}-?\d{4}\b", valid="ssn", transcript=False, gate=("like", "[0-9]{3}")),
     Recognizer("email", "EMAIL", 80, rf"\b{_LOCAL}@[A-Z0-9.\-]+\.[A-Z]{{2,}}\b", flags="(?i)", gate=("has", "@")),
@@ -64,9 +65,9 @@ RECOGNIZERS = (
     Recognizer("dob_context", "DOB", 64, r"(?:[0-9]{1,2}[/-][0-9]{1,2}[/-][0-9]{2,4}|[0-9]{4}-[0-9]{2}-[0-9]{2})", r"\b(?:dob|date of birth|born)" + _LINK, r"\b", "(?i)", gate=("like", "[0-9][/-][0-9]")),
     Recognizer("address", "ADDRESS", 62, rf"[0-9]{{1,6}}\s+[A-Za-z0-9 .'\-]{{2,60}}\s+(?:{_STREETS})\b(?:[.,]?\s*[A-Za-z .'\-]{{2,40}})?", r"\b(?:address|mailing address|home address|ship(?:ping)? address)" + _LINK, flags="(?i)", gate=("like", "[0-9]")),
     Recognizer("phone", "PHONE", 65, r"\b(?:\+?\d{1,3}[\s.\-]?)?(?:\(?\d{3}\)?[\s.\-]?)\d{3}[\s.\-]?\d{4}\b", valid="phone", transcript=False, gate=("like", "[0-9]{4}")),
-    Recognizer("id_context", "ID", 61, r"[A-Za-z0-9][A-Za-z0-9\-]{4,}", _ACCOUNTS + _LINK, r"\b", "(?i)", transcript=False),
-    Recognizer("project_context", "MODEL_PRIVATE", 60, r"[A-Z][A-Za-z0-9_-]+(?:\s+[A-Z][A-Za-z0-9_-]+){0,3}", _PROJECTS + r"\s*(?:is|:|=)?\s+", r"\b", transcript=False),
-    Recognizer("person", "PERSON", 55, r"[A-Z][a-z]+(?:\s+[A-Z][a-z]+){0,3}", _NAMED, r"\b", "(?i)", "person"),
+    Recognizer("id_context", "ID", 61, r"[A-Za-z0-9][A-Za-z0-9\-]{4,}", _ACCOUNTS + _LINK, r"\b", "(?i)", transcript=False, gate=("words", "account|acct|claim|policy|member|customer|case|patient")),
+    Recognizer("project_context", "MODEL_PRIVATE", 60, r"[A-Z][A-Za-z0-9_-]+(?:\s+[A-Z][A-Za-z0-9_-]+){0,3}", _PROJECTS + r"\s*(?:is|:|=)?\s+", r"\b", transcript=False, gate=("words", "odename|ode name|roject|rogram|ystem name|pp name|pplication name")),
+    Recognizer("person", "PERSON", 55, r"[A-Z][a-z]+(?:\s+[A-Z][a-z]+){0,3}", _NAMED, r"\b", "(?i)", "person", gate=("words", "name|called")),
 )
 
 # Words near a card, and words that make a transcript's secret a false positive.

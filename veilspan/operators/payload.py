@@ -199,10 +199,10 @@ def scrub(df: DataFrame, id_cols: Sequence[str], body_col: str = "body", type_co
     plain = F.array(F.struct(F.array().cast("array<string>").alias("path"), F.col("body").alias("value")))
     held = held.withColumn("leaves", F.coalesce("leaves", plain))
 
-    one = held.select("*", F.posexplode_outer("leaves").alias("pos", "leaf")).withColumn("value", F.col("leaf.value"))
+    one = held.select("*", F.posexplode_outer("leaves").alias("pos", "leaf")).withColumn("value", F.col("leaf.value")).withColumn("low", S.folded(F.col("leaf.value")))
     one = one.withColumn("typed", key_type(F.try_element_at("leaf.path", F.lit(-1))) if policy.redact_sensitive_json_keys else F.lit(None).cast("string"))
     search = F.when(F.col("is_json"), scrubbed_path(F.col("leaf.path"), policy)).otherwise(policy.scrub_plain_text)
-    one = one.withColumn("found", F.when(F.col("typed").isNull() & search, S.candidates(F.col("value"), **options)))
+    one = one.withColumn("found", F.when(F.col("typed").isNull() & search, S.candidates(F.col("value"), low=F.col("low"), **options)))
     whole = F.array(F.struct(F.lit(0).cast("long").alias("start"), F.length("value").cast("long").alias("end"), F.col("typed").alias("entity"), F.col("value").alias("value")))
     none = F.array().cast(S.SPAN)
     spans = F.when(F.col("typed").isNotNull() & (F.col("value") != ""), whole).otherwise(F.coalesce(S.chosen(F.col("found")), none))

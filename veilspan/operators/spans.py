@@ -24,8 +24,13 @@ def _none() -> Column:
     return F.array().cast(CANDIDATE)
 
 
-def matches(text: Column, recognizer: R.Recognizer, order: int) -> Column:
-    """All candidates of one recognizer, leftmost first, without overlaps among themselves."""
+def folded(text: Column) -> Column:
+    """The text in lower case as word gates read it; the long s folds to s, as patterns see it."""
+    return F.replace(F.lower(text), F.lit("\u017f"), F.lit("s"))
+
+
+def matches(text: Column, recognizer: R.Recognizer, order: int, low: Column | None = None) -> Column:
+    """All candidates of one recognizer, leftmost first, without overlaps among themselves. low: folded() of the text."""
     p = java(recognizer.pattern)
     whole, before, value = (F.regexp_extract_all(text, F.lit(p), F.lit(k)) for k in (0, 1, 2))
     gaps = F.slice(F.split(text, p, -1), 1, F.size(whole))
@@ -43,7 +48,11 @@ def matches(text: Column, recognizer: R.Recognizer, order: int) -> Column:
     has = text.rlike(p)
     if recognizer.gate:
         kind, what = recognizer.gate
-        has = (F.contains(text, F.lit(what)) if kind == "has" else text.rlike(what)) & has
+        if kind == "words":
+            passes = _any(folded(text) if low is None else low, what.split("|"))
+        else:
+            passes = F.contains(text, F.lit(what)) if kind == "has" else text.rlike(what)
+        has = passes & has
     return F.when(has, found).otherwise(_none())
 
 
@@ -69,14 +78,14 @@ def false_positive(text: Column, c: Column) -> Column:
     return (c["entity"] == "MODEL_PRIVATE") | ((c["entity"] == "SECRET") & benign)
 
 
-def candidates(text: Column, profile: str = "broad", entities: Sequence[str] = (), exclude: Sequence[str] = (), only: Sequence[str] = (), external: Column | None = None) -> Column:
+def candidates(text: Column, profile: str = "broad", entities: Sequence[str] = (), exclude: Sequence[str] = (), only: Sequence[str] = (), external: Column | None = None, low: Column | None = None) -> Column:
     """All candidates of a text. entities: the types wanted, all if empty; exclude: types not wanted; only: recognizers
-    by name; external: candidates found elsewhere. Recognizers of unwanted types don't run."""
+    by name; external: candidates found elsewhere; low: folded() of the text, if it is at hand. Recognizers of unwanted types don't run."""
     wanted = [e for e in (entities or R.ENTITY_TYPES) if e not in exclude]
     runs = [(k, r) for k, r in enumerate(R.RECOGNIZERS) if r.entity in wanted and (profile == "broad" or r.transcript) and (not only or r.name in only)]
     parts = []
     for k, r in runs:
-        found = matches(text, r, k)
+        found = matches(text, r, k, low)
         if profile == "transcript" and r.valid == "card":
             found = F.filter(found, lambda c: _any(around(text, c["start"], c["end"], R.CARD_WINDOW), R.CARD_TERMS))
         parts.append(found)
@@ -134,13 +143,15 @@ def rewrite(text: Column, spans: Column, names: Column) -> Column:
 
 def with_spans(df: DataFrame, text_col: str = "text", out: str = "spans", profile: str = "broad", entities: Sequence[str] = (), exclude: Sequence[str] = (), only: Sequence[str] = (), external: str | None = None) -> DataFrame:
     """df with the chosen spans of its text."""
-    found = candidates(F.col(text_col), profile, entities, exclude, only, F.col(external) if external else None)
-    return df.withColumn("__candidates", found).withColumn(out, chosen(F.col("__candidates"))).drop("__candidates")
+    found = candidates(F.col(text_col), profile, entities, exclude, only, F.col(external) if external else None, F.col("__folded"))
+    held = df.withColumn("__folded", folded(F.col(text_col))).withColumn("__candidates", found)
+    return held.withColumn(out, chosen(F.col("__candidates"))).drop("__candidates", "__folded")
 
 
 def findings(df: DataFrame, id_cols: Sequence[str], spans_col: str = "spans") -> DataFrame:
-    """One row for each span."""
-    return df.select(*id_cols, F.explode(spans_col).alias("s")).select(*id_cols, F.col("s.entity").alias("entity"), F.col("s.start").alias("span_start"), F.col("s.end").alias("span_end"), F.col("s.value").alias("value"))
+    """One row for each span. The outer form keeps the optimizer from testing the size of the array below the projection
+    that makes it, which would find all spans twice."""
+    return df.select(*id_cols, F.explode_outer(spans_col).alias("s")).where("s IS NOT NULL").select(*id_cols, F.col("s.entity").alias("entity"), F.col("s.start").alias("span_start"), F.col("s.end").alias("span_end"), F.col("s.value").alias("value"))
 
 
 def redact(df: DataFrame, text_col: str = "text", out: str = "redacted", **options) -> DataFrame:

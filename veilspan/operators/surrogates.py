@@ -37,7 +37,7 @@ def rewrite_scoped(df: DataFrame, id_cols: Sequence[str], scope: Sequence[str],
     from veilspan.operators.spans import rewrite
 
     first = [*(order or id_cols)]
-    found = df.select(*dict.fromkeys([*id_cols, *scope, *first]), F.posexplode(spans_col).alias("pos", "s"))
+    found = df.select(*dict.fromkeys([*id_cols, *scope, *first]), F.posexplode_outer(spans_col).alias("pos", "s")).where("s IS NOT NULL")
     found = found.select("*", F.col("s.entity").alias("entity"), F.col("s.value").alias("value"))
     named = found.join(assign(found, scope, [*first, "pos"]), [*scope, "entity", "value"])
     names = named.groupBy(*id_cols).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "surrogate"))), lambda x: x["surrogate"]).alias("__names"))

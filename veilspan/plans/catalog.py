@@ -60,7 +60,7 @@ for _name, _carrier, _only in (
 
 def _candidates(profile: str, carrier: str) -> Query:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        rows = carriers.frame(spark, sf_dir, carrier).select("id", F.explode(S.candidates(F.col("text"), profile)).alias("c"))
+        rows = carriers.frame(spark, sf_dir, carrier).select("id", F.explode_outer(S.candidates(F.col("text"), profile)).alias("c")).where("c IS NOT NULL")
         return rows.select("id", F.col("c.entity").alias("entity"), F.col("c.priority").alias("priority"), F.col("c.start").alias("span_start"), F.col("c.end").alias("span_end"), F.col("c.value").alias("value"))
 
     return query
@@ -88,7 +88,7 @@ _add("redact_documents", *_redacted("documents"))
 _add("redact_pages", *_redacted("pages"))
 _add("redact_nested", *_redacted("nested"))
 _add("redact_transcript", *_redacted("secrets", profile="transcript"))
-_add("surrogate_per_doc", lambda spark, d: S.with_spans(carriers.frame(spark, d, "nested")).select("id", F.explode(F.arrays_zip(S.numbered(F.col("spans")).alias("n"), F.col("spans").alias("s"))).alias("x")).select("id", F.col("x.s.start").alias("span_start"), F.col("x.n").alias("surrogate")), f"SELECT id, span_start, surrogate FROM ({oracle.named(carriers.source('nested'))})")
+_add("surrogate_per_doc", lambda spark, d: S.with_spans(carriers.frame(spark, d, "nested")).select("id", F.explode_outer(F.arrays_zip(S.numbered(F.col("spans")).alias("n"), F.col("spans").alias("s"))).alias("x")).where("x IS NOT NULL").select("id", F.col("x.s.start").alias("span_start"), F.col("x.n").alias("surrogate")), f"SELECT id, span_start, surrogate FROM ({oracle.named(carriers.source('nested'))})")
 
 
 # validators
@@ -99,7 +99,7 @@ def _validated(carrier: str, recognizer: str) -> tuple[Query, str]:
     kind = R.BY_NAME[recognizer].valid
 
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        rows = carriers.frame(spark, sf_dir, carrier).select("id", F.explode(S.matches(F.col("text"), bare, 0)).alias("c"))
+        rows = carriers.frame(spark, sf_dir, carrier).select("id", F.explode_outer(S.matches(F.col("text"), bare, 0)).alias("c")).where("c IS NOT NULL")
         return rows.select("id", F.col("c.value").alias("value"), validators.VALID[kind](F.col("c.value")).alias("valid"))
 
     return query, f"SELECT id, value, {oracle.VALID[kind]} AS valid FROM ({oracle.found(carriers.source(carrier), bare)})"
@@ -158,7 +158,7 @@ def _talk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = _talk(spark, sf_dir).select(*surrogates.SCOPE, "turn", F.posexplode("spans").alias("pos", "s")).select(*surrogates.SCOPE, "turn", "pos", F.col("s.entity").alias("entity"), F.col("s.value").alias("value"))
+    found = _talk(spark, sf_dir).select(*surrogates.SCOPE, "turn", F.posexplode_outer("spans").alias("pos", "s")).where("s IS NOT NULL").select(*surrogates.SCOPE, "turn", "pos", F.col("s.entity").alias("entity"), F.col("s.value").alias("value"))
     return surrogates.assign(found, surrogates.SCOPE, ["turn", "pos"])
 
 
@@ -200,7 +200,7 @@ _add("vault_hmac", lambda spark, d: _mapping(spark, d).select("conversation_id",
 
 def _vault(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two batches of findings, the second with known and new values; originals decrypted again."""
-    found = _talk(spark, sf_dir).select(*surrogates.SCOPE, "turn", F.posexplode("spans").alias("pos", "s")).select(*surrogates.SCOPE, "turn", "pos", F.col("s.entity").alias("entity"), F.col("s.value").alias("value"))
+    found = _talk(spark, sf_dir).select(*surrogates.SCOPE, "turn", F.posexplode_outer("spans").alias("pos", "s")).where("s IS NOT NULL").select(*surrogates.SCOPE, "turn", "pos", F.col("s.entity").alias("entity"), F.col("s.value").alias("value"))
     empty = spark.createDataFrame([], surrogates.vault_schema())
     one = surrogates.upsert(empty, found.where("turn = 0"), _KEY, "secret", F.timestamp_seconds(F.lit(0)), ["turn", "pos"])
     two = surrogates.upsert(one, found.where("turn > 0"), _KEY, "secret", F.timestamp_seconds(F.lit(60)), ["turn", "pos"])
