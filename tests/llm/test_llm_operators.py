@@ -122,6 +122,22 @@ def test_knn(spark):
     assert got == {(i, n, j, max(1 - 2**63, min(2**63 - 1, s))) for i, n, j, s in brute_knn(large)}
 
 
+def test_knn_repeated_ids(spark):
+    rng = np.random.default_rng(4)
+    rows = [(k, [float(x) for x in rng.normal(size=6).round(2)]) for k in range(1, 130)]
+    rows += [(0, [float(x) for x in 9 + rng.normal(size=6).round(2)]) for _ in range(9)]  # their own products are the largest
+    rows += [rows[49]] * 2 + [(100, [float(x) for x in rng.normal(size=6).round(2)])] + [rows[20]] * 7
+    scores = collections.defaultdict(list)
+    for i, q in rows:
+        for j, v in rows:
+            if i % 50 == 0 and i != j:
+                scores[i].append((-sum(math.floor(256 * a) * math.floor(256 * b) for a, b in zip(q, v, strict=True)), j))
+    want = collections.Counter((i, n + 1, j, -s) for i, found in scores.items() for n, (s, j) in enumerate(sorted(found)[:5]))
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    for options in ({}, {"queries": 3, "vectors": 40, "pivots": 5}, {"pivots": 60}):
+        assert collections.Counter(tuple(r) for r in knn.knn_join(df, is_query=F.col("id") % 50 == 0, **options).collect()) == want
+
+
 def check_packed(docs, out, tokenizer):
     ids = {}
     for i, t in docs:

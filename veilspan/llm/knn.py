@@ -2,13 +2,14 @@
 
 Components are turned into integers, floor(256 x). PIVOTS vectors, chosen by the hash of their ids, divide both
 queries and data into cells of the nearest pivot. A cell's summary holds how many vectors it has, how far they lie from
-the pivot at most, and its K vectors with the smallest such distances; the queries' cells also hold their largest norm.
+the pivot at most, and the smallest such distances of its K + 1 nearest distinct ids; the queries' cells also hold their
+largest distance.
 Let q be a query in a cell with pivot p and radius u, s a vector in a cell with pivot t. Then
 
     p.t - |p| d(s,t) - u (|t| + d(s,t))  <=  q.s  <=  p.t + |p| d(s,t) + u (|t| + d(s,t)).
 
-The left side over the K-th best summarised vectors gives each query cell a score that each of its queries reaches at
-least K times; a data vector whose right side is below that goes to no query of the cell. What is left is replicated to
+The left side over the K + 1 best summarised ids, one of which may be the query's own, gives each query cell a score that
+each of its queries reaches at least K times; a data vector whose right side is below that goes to no query of the cell. What is left is replicated to
 the query blocks of that cell only. Blocks hold at most QUERIES queries and slices at most VECTORS vectors, by
 hash, so a cell that holds most of the rows is many tasks; each pair of a block and a slice is solved locally by a
 matrix product, and the best K of all slices are merged. Summaries, bounded by PIVOTS times K rows, are all
@@ -17,7 +18,8 @@ that the driver sees.
 Products are exact: in floating point while they stay below 2^53, else in whole numbers, held within 64 bits.
 Vectors that are null or hold a null or non-finite component, and rows without an id, take no part. Of different
 lengths, the shorter is filled with zeros. Rows that repeat an id are candidates each; none of
-them is a candidate of a query with that id, and such queries count as one. Extra columns
+them is a candidate of a query with that id, however many there are. Query rows that repeat an id share one ranking of
+the pairs of all of them, as in the registered SQL: a candidate stands there once for each of them. Extra columns
 are ignored. An empty table gives no rows.
 """
 
@@ -70,15 +72,16 @@ def products(queries: np.ndarray, data: np.ndarray) -> np.ndarray:
 
 def best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     """For each row the indices of its k highest scores, smaller ids first among equals. ids ascend."""
+    # ~ turns the order round without overflow
     if scores.shape[1] <= k:
-        return np.argsort(-scores, axis=1, kind="stable")
-    limit = -np.partition(-scores, k - 1, axis=1)[:, k - 1]
+        return np.argsort(~scores, axis=1, kind="stable")
+    limit = ~np.partition(~scores, k - 1, axis=1)[:, k - 1]
     out = np.empty((len(scores), k), np.int64)
     for i, (row, least) in enumerate(zip(scores, limit, strict=True)):
         over = np.flatnonzero(row > least)
         ties = np.flatnonzero(row == least)[: k - len(over)]
         chosen = np.concatenate([over, ties])
-        out[i] = chosen[np.lexsort((chosen, -row[chosen]))]
+        out[i] = chosen[np.lexsort((chosen, ~row[chosen]))]
     return out
 
 
@@ -101,15 +104,19 @@ def _cells(vectors: DataFrame, pivots: np.ndarray) -> DataFrame:
     return vectors.mapInArrow(run, "id long, v array<double>, cell long, far double")
 
 
-def bounds(pivots: np.ndarray, radius: dict[int, float], nearest: dict[int, list[float]], k: int) -> dict[int, float]:
-    """For each query cell a score that each of its queries reaches with k vectors other than itself; -inf if there are
-    too few. nearest: each data cell's smallest distances from its pivot, k + 1 of them if it has so many."""
+def bounds(pivots: np.ndarray, radius: dict[int, float], nearest: dict[int, list[tuple[float, int]]], k: int) -> dict[int, float]:
+    """For each query cell a score that each of its queries reaches with k vectors of other ids; -inf if there are too
+    few. nearest: each data cell's smallest distances from its pivot and their ids, of k + 1 distinct ids if it has so many."""
     size = np.sqrt((pivots * pivots).sum(axis=1))
     dots = pivots @ pivots.T
     out = {}
     for p, u in radius.items():
-        low = sorted((dots[p, t] - size[p] * d - u * (size[t] + d) for t, ds in nearest.items() for d in ds), reverse=True)
-        out[p] = low[k] if len(low) > k else -np.inf  # one of them may be the query itself
+        most: dict[int, float] = {}
+        for t, found in nearest.items():
+            for d, i in found:
+                most[i] = max(most.get(i, -np.inf), dots[p, t] - size[p] * d - u * (size[t] + d))
+        low = sorted(most.values(), reverse=True)
+        out[p] = low[k] if len(low) > k else -np.inf  # one of the ids may be the query's own
     return out
 
 
@@ -133,11 +140,11 @@ def knn_join(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding
     counts = {r["cell"]: r["n"] for r in data.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not groups:
         return spark.createDataFrame([], schema)
-    # the k + 1 nearest of each cell, cut down in each task before they meet
-    near = data.select("cell", "far").mapInArrow(_least(k + 1), "cell long, far double")
-    nearest: dict[int, list[float]] = {}
-    for r in near.groupBy("cell").agg(F.slice(F.sort_array(F.collect_list("far")), 1, k + 1).alias("far")).collect():
-        nearest[r["cell"]] = r["far"]
+    # the k + 1 nearest distinct ids of each cell, cut down in each task before they meet
+    near = data.select("cell", "far", "id").mapInArrow(_least(k + 1), "cell long, far double, id long").groupBy("cell", "id").agg(F.min("far").alias("far"))
+    nearest: dict[int, list[tuple[float, int]]] = {}
+    for r in near.groupBy("cell").agg(F.slice(F.sort_array(F.collect_list(F.struct("far", "id"))), 1, k + 1).alias("near")).collect():
+        nearest[r["cell"]] = [(x["far"], x["id"]) for x in r["near"]]
     floor = bounds(centres, {p: r["far"] for p, r in groups.items()}, nearest, k)
     blocks = {p: -(-r["n"] // queries) for p, r in groups.items()}
     slices = max(1, -(-sum(counts.values()) // vectors))
@@ -170,12 +177,19 @@ def knn_join(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding
         for low in range(0, len(own), 256):
             some = own[low : low + 256]
             scores = products(q[low : low + 256], v)
-            take = best(scores, other, k + 1)
+            # rows of the query's own id come last, below any product, before the best are taken
+            for row, a, b in zip(scores, np.searchsorted(other, some), np.searchsorted(other, some, "right"), strict=True):
+                row[a:b] = np.iinfo(np.int64).min
+            take = best(scores, other, k)
             ids, score = other[take], np.take_along_axis(scores, take, axis=1)
             out.append((np.repeat(some, take.shape[1]), ids.ravel(), score.ravel()))
         cat = [np.concatenate([o[i] for o in out]) if out else np.zeros(0, np.int64) for i in range(3)]
-        other_row = cat[0] != cat[1]
-        return pa.table({"query_id": cat[0][other_row], "id": cat[1][other_row], "score": cat[2][other_row]})
+        cat = [c[cat[0] != cat[1]] for c in cat]
+        # query rows that share an id share their k best
+        order = np.lexsort((cat[1], ~cat[2], cat[0]))
+        cat = [c[order] for c in cat]
+        cat = [c[np.arange(len(c)) - np.searchsorted(cat[0], cat[0]) < k] for c in cat]
+        return pa.table({"query_id": cat[0], "id": cat[1], "score": cat[2]})
 
     local = query_side.groupBy("p", "b", "s").cogroup(data_side.groupBy("p", "b", "s")).applyInArrow(solve, "query_id long, id long, score long")
     order = F.struct((-F.col("score")).alias("score"), "id")
@@ -184,15 +198,19 @@ def knn_join(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding
 
 
 def _least(n: int):
-    """A function that keeps the n smallest distances of each cell that a task has."""
+    """A function that keeps the n distinct ids nearest to the pivot of each cell that a task has."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, np.ndarray] = {}
+        held: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         for batch in batches:
-            cell, far = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            cell, far, ids = (batch.column(i).to_numpy() for i in range(3))
             for c in np.unique(cell).tolist():
-                held[c] = np.sort(np.concatenate([held.get(c, far[:0]), far[cell == c]]))[:n]
+                old = held.get(c, (far[:0], ids[:0]))
+                f, i = np.concatenate([old[0], far[cell == c]]), np.concatenate([old[1], ids[cell == c]])
+                order = np.argsort(f, kind="stable")
+                first = order[np.sort(np.unique(i[order], return_index=True)[1])[:n]]
+                held[c] = f[first], i[first]
         if held:
-            yield pa.RecordBatch.from_arrays([pa.array([c for c in held for _ in held[c]], pa.int64()), pa.array(np.concatenate(list(held.values())))], names=["cell", "far"])
+            yield pa.RecordBatch.from_arrays([pa.array([c for c, (f, _) in held.items() for _ in f], pa.int64()), *(pa.array(np.concatenate([h[i] for h in held.values()])) for i in (0, 1))], names=["cell", "far", "id"])
 
     return run
