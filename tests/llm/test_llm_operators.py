@@ -277,6 +277,18 @@ def test_suffix_lm(odd, empty, documents):
     assert suffix_lm.score(empty).count() == 0
 
 
+def test_suffix_lm_keeps_rare_contexts_of_a_large_corpus(spark):
+    pick = np.random.default_rng(9)
+    words = ["alpha", "beta", "gamma", "delta", "omega"]
+    rows = [(k, " ".join(words[x] for x in pick.integers(0, 5, 6_000))) for k in range(90)]  # 3 million symbols
+    rows += [(1000 + k, "qzxjvkw") for k in range(9)]
+    df = frame(spark, rows).repartition(4)
+    out = {r.doc_id: r.score for r in suffix_lm.score(df).collect()}
+    assert out[1000] > -14  # without the contexts of "qzxj..", each of its letters costs 5 and more
+    parted = {r.doc_id: r.score for r in suffix_lm.score(df, most=50).collect()}
+    assert parted.keys() == out.keys() and all(abs(parted[i] - out[i]) < 1e-6 * abs(out[i]) for i in out)
+
+
 def test_warc(spark):
     pages = spark.createDataFrame([(1, "http://a/", "<p>x</p>"), (1, "http://a/", "<p>x</p>"), (2, None, None), (None, "u", ""), (3, "http://b/\r\nWARC-Type: x", "<p>" + "y " * 50_000)], "page_id long, url string, html string").withColumn("record", F.lit("clash")).withColumn("title", F.lit(1))
     out = warc.derivatives(warc.responses(pages)).collect()

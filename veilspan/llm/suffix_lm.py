@@ -4,16 +4,18 @@ A text is a stream of symbols: the bytes of each of its tokens, a blank after ea
 ASCII letters are in lower case, tokens are what stands between white space. The tree's nodes are contexts of up to DEPTH
 symbols. From the counts of all windows of DEPTH + 1 symbols over all training texts,
 
-* a context is a candidate if it makes up at least P_MIN of all positions, which bounds the tree at DEPTH / P_MIN nodes
-  whatever the corpus;
+* a context is a candidate if it occurs at least LEAST times, in a corpus of any size, so the tree grows with the corpus;
 * it is retained if the next symbols after it diverge from those after its suffix: if its count times the
   Kullback-Leibler divergence of the two is at least GAIN, plus PRICE for each distinct next symbol;
 * its next-symbol distribution is smoothed towards that of its longest retained suffix, down to the root and half a
   count for each of the 256 bytes.
 
-A symbol is scored by the distribution of the longest retained suffix of what stands before it. The tree is turned into
-an automaton, closed under prefixes, so that each symbol costs one look-up; many pieces of texts are read in step, each
-after DEPTH symbols of what precedes it, which fix its state.
+A symbol is scored by the distribution of the longest retained suffix of what stands before it.
+
+Windows meet in PARTS parts by their three symbols before the last, each a task that grows its part of the tree alone;
+contexts of up to two symbols, at most 256^3 counts, are known to all. Texts are scored in as many passes as the tree
+needs at MOST counts a pass: a pass sends a range of parts to all tasks, which score the symbols whose windows are in them,
+and the passes are summed. Each task looks up its distinct windows once for each block of texts.
 
 The unigram baseline needs the count of every token of every text. Texts are taken in groups of a bounded size; each group
 asks once for each of its distinct tokens, the answers are joined from the counts of all tokens, and come
@@ -38,12 +40,14 @@ from pyspark.sql import functions as F
 from veilspan.llm import _spark, _text
 from veilspan.llm._tokens import ragged
 
-#: Symbols of a context, least share of a candidate, divergence that retains it, and its price for each next symbol.
-DEPTH, P_MIN, GAIN, PRICE = 5, 4e-6, 8.0, 2.0
+#: Symbols of a context, least count of a candidate, divergence that retains it, and its price for each next symbol.
+DEPTH, LEAST, GAIN, PRICE = 6, 2, 8.0, 2.0
+#: Parts of windows, symbols of the contexts that all parts know, counts of the tree that a pass sends.
+PARTS, SHALLOW, MOST = 256, 2, 4_000_000
 #: Weight of the suffix's distribution in smoothing, in counts.
 BACK = 8.0
-#: Bytes of text of a group, symbols of a piece.
-GROUP, PIECE = 12 << 20, 256
+#: Bytes of text of a group.
+GROUP = 12 << 20
 _SPACE, _END = 0x20, 0x0A
 _LOW = np.arange(256, dtype=np.uint8)
 _LOW[65:91] = _LOW[97:123]
@@ -104,12 +108,10 @@ def gather(df: DataFrame, id_col: str, text_col: str, training: F.Column) -> Dat
     """One pass over all texts, rows of four kinds:
     word: key a token's hash, group, place its number in the group, n its training count
     group: group, the (token number, text number, count) of its texts, as numbers of 4 bytes each
-    text: key a row's name, group, place its number in the group, n 1 if it is for training
-    window: key a window, n its training count"""
+    text: key a row's name, group, place its number in the group, n 1 if it is for training"""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, group = TaskContext.get().partitionId(), 0
-        held: list[tuple[np.ndarray, np.ndarray]] = []
         for batch in batches:
             data, bounds = _text.string_parts(batch.column(1))
             flags = np.asarray(batch.column(2).fill_null(False).to_numpy(zero_copy_only=False), bool)
@@ -122,15 +124,6 @@ def gather(df: DataFrame, id_col: str, text_col: str, training: F.Column) -> Dat
                     hashes.append(words.hashes())
                     owner.append(words.text_of() + (a - low))
                     keys.append(row_keys(batch.column(0).slice(a, b - a), block))
-                    if flags[a:b].any():
-                        symbols, first, _ = stream(block)
-                        found = np.sort(windows(symbols, first, flags[a:b]))
-                        at = np.flatnonzero(np.append(True, found[1:] != found[:-1]))
-                        held.append((found[at], np.diff(np.append(at, len(found)))))
-                        if sum(len(x) for x, _ in held) > 3_000_000:
-                            held = [_counted(np.concatenate([x for x, _ in held]), np.concatenate([c for _, c in held]))]
-                            if len(held[0][0]) > 1_500_000:  # a bounded memory of windows
-                                yield rows("window", *held.pop())
                 token, which = np.unique(np.concatenate(hashes), return_inverse=True)
                 both = np.sort(which.astype(np.int64) << 32 | np.concatenate(owner))
                 at = np.flatnonzero(np.append(True, both[1:] != both[:-1])) if len(both) else np.zeros(0, np.int64)
@@ -140,9 +133,6 @@ def gather(df: DataFrame, id_col: str, text_col: str, training: F.Column) -> Dat
                 yield rows("word", token.view(np.int64), trained, name, np.arange(len(token)))
                 yield rows("group", np.zeros(1, np.int64), np.zeros(1, np.int64), name, np.zeros(1, np.int64), [np.stack([word, text, count]).astype("<u4").tobytes()])
                 yield rows("text", np.concatenate(keys), flags[low:high].astype(np.int64), name, np.arange(high - low))
-        if held:
-            yield rows("window", *_counted(np.concatenate([x for x, _ in held]), np.concatenate([c for _, c in held])))
-
     def rows(kind: str, key: np.ndarray, n: np.ndarray, group: int = 0, place: np.ndarray | None = None, counts: list[bytes] | None = None) -> pa.RecordBatch:
         size = len(key)
         return pa.RecordBatch.from_arrays(
@@ -154,104 +144,171 @@ def gather(df: DataFrame, id_col: str, text_col: str, training: F.Column) -> Dat
     return chosen.mapInArrow(run, "kind string, key long, n long, group long, place long, counts binary")
 
 
+def part_of(window: np.ndarray) -> np.ndarray:
+    """The part of each window, by the three symbols before its last."""
+    return ((window.astype(np.int64) >> 8 & 0xFFFFFF) * 0x9E3779B1 >> 24) & (PARTS - 1)
+
+
+def _packed(values: np.ndarray) -> bytes:
+    """Whole numbers byte by byte in planes, compressed."""
+    return pa.compress(np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8).T), codec="zstd", asbytes=True)
+
+
+def _unpacked(packed: bytes, n: int) -> np.ndarray:
+    planes = np.frombuffer(pa.decompress(packed, 8 * n, codec="zstd", asbytes=True), np.uint8).reshape(8, n)
+    return np.ascontiguousarray(planes.T).view("<i8").ravel()
+
+
+def gather_windows(df: DataFrame, id_col: str, text_col: str, training: F.Column) -> DataFrame:
+    """(part, n, keys, counts): the windows of training texts, n of them in a row, in order and packed as differences."""
+
+    def rows(values: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+        part = part_of(values)
+        order = np.argsort(part, kind="stable")
+        at = np.searchsorted(part[order], np.arange(PARTS + 1))
+        own = [order[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
+        found = [(k, len(o), _packed(np.diff(values[o], prepend=0)), _packed(counts[o])) for k, o in enumerate(own) if len(o)]
+        return pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], kind) for i, kind in enumerate((pa.int64(), pa.int64(), pa.binary(), pa.binary()))], names=["part", "n", "keys", "counts"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        for batch in batches:
+            for _, _, block in _text.blocks(batch.column(0)):
+                symbols, first, _ = stream(block)
+                found = np.sort(windows(symbols, first, np.ones(block.n, bool)))
+                at = np.flatnonzero(np.append(True, found[1:] != found[:-1])) if len(found) else found
+                held.append((found[at], np.diff(np.append(at, len(found)))))
+                if sum(len(x) for x, _ in held) > 3_000_000:
+                    held = [_counted(np.concatenate([x for x, _ in held]), np.concatenate([c for _, c in held]))]
+                    if len(held[0][0]) > 1_500_000:  # a bounded memory of windows
+                        yield rows(*held.pop())
+        if held:
+            yield rows(*_counted(np.concatenate([x for x, _ in held]), np.concatenate([c for _, c in held])))
+
+    return df.where(F.coalesce(training, F.lit(False))).select(F.col(text_col).cast("string").alias("text")).mapInArrow(run, "part long, n long, keys binary, counts binary")
+
+
 class Tree:
-    """The automaton of a tree. step: the next state by state and column; score: log10 of the symbol's probability."""
+    """Next-symbol distributions of contexts, by window: for each length the windows in order, their shares, and the weight
+    that their context leaves to its suffix. parts: the parts whose windows it scores; the others count as nothing."""
 
-    def __init__(self, contexts: np.ndarray, depths: np.ndarray, symbols: np.ndarray, counts: np.ndarray, retained: np.ndarray):
+    def __init__(self, contexts: np.ndarray, depths: np.ndarray, symbols: np.ndarray, counts: np.ndarray, retained: np.ndarray, parts: tuple[int, int] = (0, PARTS)):
         """Counts of (context, symbol) of the root and of candidates; retained: whether the context of a row is kept."""
         root = depths == 0
-        seen = np.zeros(256, bool)
-        seen[symbols[root]] = True
-        self.column = np.full(256, int(seen.sum()), np.int64)  # symbols never seen share one column
-        self.column[seen] = np.arange(int(seen.sum()))
-        self.width = int(seen.sum()) + 2  # and the last column stands for no symbol
-        use = retained & (depths > 0)
-        keys = np.unique(depths[use] << 40 | contexts[use])
-        kept, todo = keys, keys
-        while len(todo):  # with each context its suffixes and prefixes
-            d, c = (todo >> 40) - 1, todo & ((1 << 40) - 1)
-            more = np.concatenate([d << 40 | (c & ((np.int64(1) << (8 * d)) - 1)), d << 40 | c >> 8])
-            todo = np.setdiff1d(more[more >> 40 > 0], keys)
-            keys = np.union1d(keys, todo)
-        keys = np.concatenate([[0], keys])  # by depth, the root first
-        depth, context = keys >> 40, keys & ((1 << 40) - 1)
-        find = lambda d, c: np.searchsorted(keys, d << 40 | c)
-        suffix = np.where(depth > 0, find(np.maximum(depth - 1, 0), context & ((np.int64(1) << (8 * np.maximum(depth - 1, 0))) - 1)), 0)
-        before = np.where(depth > 0, find(np.maximum(depth - 1, 0), context >> 8), 0)
-        own = np.concatenate([[True], np.isin(keys[1:], kept)])
-        count = np.zeros((len(keys), self.width), np.float32)
-        rows = root | use
-        count[find(depths[rows], contexts[rows]), self.column[symbols[rows]]] = counts[rows]
-        total = count.sum(axis=1, dtype=np.float64)
-        share = np.zeros((len(keys), self.width), np.float32)
-        share[0] = (count[0] + 0.5) / (total[0] + 128)
-        step = np.zeros((len(keys), self.width), np.int32)
-        for d in range(int(depth.max()) + 1):
-            at = np.flatnonzero(depth == d)
-            if d:
-                step[at] = step[suffix[at]]
-                share[at] = share[suffix[at]]
-                mine = at[own[at]]
-                share[mine] = (count[mine] + np.float32(BACK) * share[suffix[mine]]) / (total[mine] + BACK)[:, None].astype(np.float32)
-            child = np.flatnonzero(depth == d + 1)
-            step[before[child], self.column[context[child] & 255]] = child
-        step[:, -2:] = 0
-        step[:, -1] = 0
-        share[:, -1] = 1.0
-        del count
-        self.step, self.score = step.ravel(), np.log10(share, out=share).ravel()
-        self.states, self.retained = len(keys), int(own.sum())
+        count = np.bincount(symbols[root], weights=counts[root], minlength=256)
+        self.base = (count + 0.5) / (count.sum() + 128)
+        self.levels: list[tuple[int, np.ndarray, np.ndarray, np.ndarray]] = []
+        self.parts = parts
+        for d in range(1, int(depths.max(initial=0)) + 1):
+            at = np.flatnonzero((depths == d) & retained)
+            key = contexts[at] << 8 | symbols[at]
+            order = np.argsort(key)
+            key, n = key[order], counts[at][order]
+            if not len(key):
+                continue
+            first = np.flatnonzero(np.append(True, key[1:] >> 8 != key[:-1] >> 8))
+            total = np.repeat(np.add.reduceat(n, first), np.diff(np.append(first, len(n))))
+            share = (n + BACK * self.shares(key)) / (total + BACK)
+            self.levels.append((d, key, share.astype(np.float32), (BACK / (total + BACK)).astype(np.float32)))
+
+    def shares(self, window: np.ndarray) -> np.ndarray:
+        """The probability of each window's symbol after its longest retained suffix."""
+        out = self.base[window & 255]
+        for d, key, share, back in self.levels:
+            own = window & ((1 << 8 * (d + 1)) - 1)
+            at = np.searchsorted(key, own)
+            here, before = np.minimum(at, len(key) - 1), np.maximum(at - 1, 0)
+            near = np.where(key[here] >> 8 == own >> 8, here, before)  # a window of the same context, if there is one
+            known = key[near] >> 8 == own >> 8
+            out = np.where(key[here] == own, share[here], np.where(known, out * back[near], out))
+        return out
 
     def scores(self, symbols: np.ndarray, first: np.ndarray) -> np.ndarray:
-        """log10 of the probability of each text of a stream."""
+        """log10 of the probability of each text of a stream, of the symbols in the tree's parts."""
         n = len(first) - 1
-        size = np.diff(first) - DEPTH
-        pieces = -(-size // PIECE)
-        text = np.repeat(np.arange(n), pieces)
-        number = np.arange(len(text)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
-        start = first[:-1][text] + number * PIECE
-        left = np.minimum(size[text] - number * PIECE, PIECE)
-        order = np.argsort(-left, kind="stable")
-        text, start, left = text[order], start[order], left[order]
-        columns = self.column[symbols].astype(np.int64)
-        state, total = np.zeros(len(text), np.int64), np.zeros(len(text))
-        for back in range(DEPTH, 0, -1):
-            state = self.step[state * self.width + columns[start - back]].astype(np.int64)
-        on = len(text)
-        for k in range(int(left[0]) if len(left) else 0):
-            on = int(np.searchsorted(-left, -k, "left"))  # pieces longer than k
-            at = state[:on] * self.width + columns[start[:on] + k]
-            total[:on] += self.score[at]
-            state[:on] = self.step[at]
-        return np.bincount(text, weights=total, minlength=n)
-
-
-def grow(gathered: DataFrame, depth: int = DEPTH, p_min: float = P_MIN, gain: float = GAIN, price: float = PRICE) -> Tree:
-    """The tree of the windows of a gathered table."""
-    level = _spark.stored(gathered.where("kind = 'window'").groupBy(F.col("key").alias("w")).agg(F.sum("n").alias("n")), "windows")
-    positions = level.agg(F.sum("n")).first()[0] or 0
-    tables = {}
-    for d in range(depth, -1, -1):
-        if d < depth:  # the oldest symbol of each window goes
-            level = _spark.stored(level.groupBy(F.col("w").bitwiseAND(F.lit((1 << (8 * (d + 1))) - 1)).alias("w")).agg(F.sum("n").alias("n")), "windows")
-        c = level.select(F.shiftright("w", 8).alias("context"), F.col("w").bitwiseAND(F.lit(255)).alias("symbol"), "n")
-        total = c.groupBy("context").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("kinds")).where(F.col("total") >= max(2.0, p_min * positions) if d else F.lit(True))
-        tables[d] = _spark.stored(c.join(total, "context"), "contexts")
-    parts = [tables[0].select(F.lit(0).cast("long").alias("depth"), "context", "symbol", "n", F.lit(True).alias("keep"))]
-    for d in range(1, depth + 1):
-        mask = F.lit((1 << (8 * (d - 1))) - 1).cast("long")
-        up = tables[d - 1].select(F.col("context").alias("above"), "symbol", (F.col("n") / F.col("total")).alias("q"))
-        share = F.col("n") / F.col("total")
-        own = tables[d].withColumn("above", F.col("context").bitwiseAND(mask)).join(up, ["above", "symbol"])
-        kept = own.groupBy("context").agg(F.sum(F.col("n") * F.log(share / F.col("q"))).alias("g"), F.first("kinds").alias("kinds")).where(F.col("g") >= gain + price * F.col("kinds")).select("context")
-        parts.append(tables[d].join(kept, "context", "left_semi").select(F.lit(d).cast("long").alias("depth"), "context", "symbol", "n", F.lit(True).alias("keep")))
-    whole = parts[0]
-    for p in parts[1:]:
-        whole = whole.unionByName(p)
-    # bounded by depth / p_min contexts
-    found = whole.toArrow()
-    get = lambda name: found[name].to_numpy()
-    return Tree(get("context"), get("depth"), get("symbol"), get("n"), np.ones(len(found), bool))
+        found, which = np.unique(windows(symbols, first, np.ones(n, bool)), return_inverse=True)
+        value = np.log10(self.shares(found))
+        if self.parts != (0, PARTS):
+            part = part_of(found)
+            value[(part < self.parts[0]) | (part >= self.parts[1])] = 0.0
+        return np.bincount(np.repeat(np.arange(n), np.diff(first) - DEPTH), weights=value[which], minlength=n)
+
+
+def _totals(key: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For windows in order: (total, kinds, number) of each one's context."""
+    first = np.flatnonzero(np.append(True, key[1:] >> 8 != key[:-1] >> 8))
+    size = np.diff(np.append(first, len(key)))
+    return np.repeat(np.add.reduceat(n, first), size), np.repeat(size, size), np.repeat(np.arange(len(first)), size)
+
+
+def kept(key: np.ndarray, n: np.ndarray, above: np.ndarray, n_above: np.ndarray, depth: int, least: int = LEAST, gain: float = GAIN, price: float = PRICE) -> np.ndarray:
+    """Which windows of depth + 1 symbols, in order, have a context that is retained. above: those of one symbol less."""
+    total, kinds, number = _totals(key, n)
+    at = np.searchsorted(above, key & ((1 << 8 * depth) - 1))
+    q = n_above[at] / _totals(above, n_above)[0][at]
+    g = np.bincount(number, weights=n * np.log(n / total / q))[number]
+    return (total >= least) & (g >= gain + price * kinds)
+
+
+def grow(found: DataFrame, most: int = MOST) -> Iterator[Tree]:
+    """The trees of all passes, made as they are asked for, from gathered windows."""
+    spark = found.sparkSession
+
+    def merged(table: pa.Table, depth: int) -> tuple[np.ndarray, np.ndarray]:
+        held, fresh = (np.zeros(0, np.int64), np.zeros(0, np.int64)), []
+        for k, (size, keys, counts) in enumerate(zip(*(table[c].to_pylist() for c in ("n", "keys", "counts")), strict=True)):
+            key = np.cumsum(_unpacked(keys, size))
+            fresh.append((key & ((1 << 8 * (depth + 1)) - 1), _unpacked(counts, size)))
+            if sum(len(x) for x, _ in fresh) > 2_000_000 or k == table.num_rows - 1:
+                held = _counted(np.concatenate([held[0], *(x for x, _ in fresh)]), np.concatenate([held[1], *(c for _, c in fresh)]))
+                fresh = []
+        return held
+
+    def flat(table: pa.Table) -> pa.Table:
+        key, n = merged(table, DEPTH)
+        return pa.table({"part": np.full(len(key), table["part"][0].as_py()), "key": key, "n": n})
+
+    # one exchange: the windows of each part, summed
+    level = _spark.stored(found.groupBy("part").applyInArrow(flat, "part long, key long, n long"), "windows")
+    low = level.groupBy(F.col("key").bitwiseAND(F.lit((1 << 8 * (SHALLOW + 1)) - 1)).alias("key")).agg(F.sum("n").alias("n")).toArrow()
+    known = {SHALLOW: _counted(low["key"].to_numpy(), low["n"].to_numpy())}
+    for d in range(SHALLOW - 1, -1, -1):
+        known[d] = _counted(known[d + 1][0] & ((1 << 8 * (d + 1)) - 1), known[d + 1][1])
+    shallow = [(0, *known[0])]
+    if len(known[0][0]):
+        for d in range(1, SHALLOW + 1):
+            use = kept(*known[d], *known[d - 1], d)
+            shallow.append((d, known[d][0][use], known[d][1][use]))
+    sent = spark.sparkContext.broadcast(known[SHALLOW])
+
+    def part(table: pa.Table) -> pa.Table:
+        levels = {DEPTH: _counted(table["key"].to_numpy(), table["n"].to_numpy())}
+        for d in range(DEPTH - 1, SHALLOW, -1):
+            levels[d] = _counted(levels[d + 1][0] & ((1 << 8 * (d + 1)) - 1), levels[d + 1][1])
+        out, above = [], sent.value
+        for d in range(SHALLOW + 1, DEPTH + 1):
+            use = kept(*levels[d], *above, d)
+            above = levels[d]
+            out.append((np.full(int(use.sum()), d), above[0][use], above[1][use]))
+        depth, key, n = (np.concatenate([o[i] for o in out]) for i in range(3))
+        return pa.table({"part": np.full(len(key), table["part"][0].as_py()), "depth": depth, "key": key, "n": n})
+
+    deep = _spark.stored(level.groupBy("part").applyInArrow(part, "part long, depth long, key long, n long"), "tree")
+    size = {r["part"]: r["n"] for r in deep.groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect()}
+    cuts, held = [0], 0
+    for k in range(PARTS):
+        if held and held + size.get(k, 0) > most:
+            cuts.append(k)
+            held = 0
+        held += size.get(k, 0)
+
+    def tree(a: int, b: int) -> Tree:
+        own = deep.where(F.col("part").between(a, b - 1)).select("depth", "key", "n").toArrow()  # at most most counts, or one part
+        depth, key, n = (np.concatenate([np.concatenate([np.full(len(x[1]), x[0]) if i == 0 else x[i] for x in shallow]), own[c].to_numpy()]) for i, c in enumerate(("depth", "key", "n")))
+        return Tree(key >> 8, depth, key & 255, n, np.ones(len(key), bool), (a, b))
+
+    for a, b in zip(cuts, [*cuts[1:], PARTS], strict=True):
+        yield tree(a, b)
 
 
 def base_scores(gathered: DataFrame) -> tuple[DataFrame, int]:
@@ -291,7 +348,7 @@ def tree_scores(df: DataFrame, tree: Tree, id_col: str = "doc_id", text_col: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = sent.value
         for batch in batches:
-            for low, high, block in _text.blocks(batch.column(1), 4 * _text.BLOCK_BYTES):
+            for low, high, block in _text.blocks(batch.column(1), 2 * _text.BLOCK_BYTES):
                 symbols, first, tokens = stream(block)
                 names = row_keys(batch.column(2).slice(low, high - low), block)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), pa.array(names), pa.array(tokens + 1, pa.int64()), pa.array(own.scores(symbols, first))], names=["id", "key", "n_tokens", "score"])
@@ -300,14 +357,21 @@ def tree_scores(df: DataFrame, tree: Tree, id_col: str = "doc_id", text_col: str
     return chosen.mapInArrow(run, f"id {_spark.field_type(df, id_col)}, key long, n_tokens long, score double")
 
 
-def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", training: F.Column | None = None) -> DataFrame:
+def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", training: F.Column | None = None, most: int = MOST) -> DataFrame:
     """(id, held_out, n_tokens, n_known, train_tokens, base_score, score) of all texts, learning from those for which
     training, a condition on the id, holds (all, if None)."""
     training = F.lit(True) if training is None else training
     gathered = _spark.stored(gather(df, id_col, text_col, training), "gathered")
-    tree = grow(gathered)
+    passes = [tree_scores(df, tree, id_col, text_col) for tree in grow(gather_windows(df, id_col, text_col, training), most)]
     base, tokens = base_scores(gathered)
-    rows = tree_scores(df, tree, id_col, text_col)
-    joined = rows.join(base, "key")
+    joined = passes[0].join(base, "key")
+    if len(passes) > 1:
+        rest = None
+        for k, p in enumerate(passes[1:]):
+            own = p.select("key", F.lit(k).alias("pass"), F.col("score").alias("more"))
+            rest = own if rest is None else rest.unionByName(own)
+        # rows with the same id and text have the same scores
+        rest = rest.groupBy("key", "pass").agg(F.min("more").alias("more")).groupBy("key").agg(F.sort_array(F.collect_list(F.struct("pass", "more"))).alias("more"))
+        joined = joined.join(rest, "key").withColumn("score", F.aggregate("more", F.col("score"), lambda x, y: x + y["more"])).drop("more")
     held = ~F.coalesce(training, F.lit(False))
     return joined.withColumnRenamed("id", id_col).select(id_col, held.alias("held_out"), "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), "base_score", "score")
