@@ -202,6 +202,16 @@ def test_automaton_of_a_tree_equals_longest_suffixes():
         assert abs(x - plain_tree_score((counts, retained), t)) < 1e-3 * max(1, abs(x))
 
 
+def test_http_reads_all_gzip_members():
+    import gzip
+
+    head = b"HTTP/1.1 200 OK\r\nContent-Encoding: gzip\r\n\r\n"
+    members = gzip.compress(b"<p>one</p>") + gzip.compress(b"") + gzip.compress(b"<p>two</p>")
+    for tail in (b"", b"\x00\x00", b"\x1f\x8bbroken"):
+        assert warc.http(head + members + tail)[3] == b"<p>one</p><p>two</p>"
+    assert warc.http(head + b"plain")[3] == b""
+
+
 def test_warc_round_trip():
     body = "<html><head><title>A &amp; B</title><script>var x='<p>no</p>'</script></head><body><p>One<br>two &lt;3</p><!-- c --><a href='/x?a=1&amp;b=2'>link</a></body>".encode()
     made = warc.response("http://a.example/é", body, "7")

@@ -114,6 +114,19 @@ def _dechunked(data: bytes) -> bytes:
     return b"".join(out)
 
 
+def _gunzipped(data: bytes) -> bytes:
+    """All members of data; what follows the last, or a member that can't be read, is left out."""
+    part = zlib.decompressobj(31)
+    out = [part.decompress(data)]
+    while (data := part.unused_data)[:2] == b"\x1f\x8b":
+        part = zlib.decompressobj(31)
+        try:
+            out.append(part.decompress(data))
+        except zlib.error:
+            break
+    return b"".join(out)
+
+
 def http(block: bytes) -> tuple[str, list[tuple[str, str]], bytes, bytes]:
     """(status line, headers, body as stored, body with chunks and compression undone)."""
     head, gap, body = block.partition(b"\r\n\r\n")
@@ -126,7 +139,7 @@ def http(block: bytes) -> tuple[str, list[tuple[str, str]], bytes, bytes]:
     coding = has.get("content-encoding", "")
     try:
         if "gzip" in coding:
-            plain = zlib.decompressobj(31).decompress(plain)
+            plain = _gunzipped(plain)
         elif "deflate" in coding:
             plain = zlib.decompressobj(15 if plain[:1] == b"\x78" else -15).decompress(plain)
     except zlib.error:
