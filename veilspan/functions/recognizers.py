@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 #: The entity types, in the order of reports.
@@ -36,7 +37,6 @@ class Recognizer:
 
 # Patterns and priorities.
 _LINK = r"\s*(?:is|:|=)?\s*"
-_LOCAL = r"[A-Z0-9._%+\-]+"
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
 _SECRET_WORDS = r"\b(?:api[_-]?key|secret|access[_-]?token|auth[_-]?token|token|password|passwd|pwd|bearer)\b"
 _STREETS = "Street|St|Avenue|Ave|Road|Rd|Boulevard|Blvd|Lane|Ln|Drive|Dr|Court|Ct|Way|Place|Pl"
@@ -57,7 +57,7 @@ RECOGNIZERS = (
     Recognizer("card", "CREDIT_CARD", 95, r"\b(?:\d[ -]*?){13,19}\b", valid="card", gate=("like", "[0-9](?:[ -]*[0-9]){12}")),
     Recognizer("iban", "IBAN", 94, r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,4})?\b", flags="(?i)", valid="iban", gate=("like", "[0-9]{2}")),
     Recognizer("ssn", "SSN", 90, r"\b\d{3}-?\d{2}-?\d{4}\b", valid="ssn", transcript=False, gate=("like", "[0-9]{3}")),
-    Recognizer("email", "EMAIL", 80, rf"\b{_LOCAL}@[A-Z0-9.\-]+\.[A-Z]{{2,}}\b", flags="(?i)", gate=("has", "@")),
+    Recognizer("email", "EMAIL", 80, r"\b[A-Z0-9._%+\-]+@[A-Z0-9.\-]+\.[A-Z]{2,}\b", flags="(?i)", gate=("has", "@")),
     Recognizer("url_query", "URL", 88, r"https?://[^\s\"'<>]+\?[^\s\"'<>]+", gate=("has", "://")),
     Recognizer("ipv4", "IP_ADDRESS", 70, rf"\b{_OCTET}(?:\.{_OCTET}){{3}}\b", gate=("like", r"[0-9]\.[0-9]")),
     Recognizer("ipv6", "IP_ADDRESS", 70, r"\b(?:[0-9a-f]{1,4}:){2,7}[0-9a-f]{1,4}\b", flags="(?i)", gate=("has", ":")),
@@ -104,12 +104,13 @@ def profile_of(name: str | None, strict: bool = False) -> str:
     return name if name in PROFILES else "broad"
 
 
-def entities_of(names: str | list[str] | None) -> tuple[str, ...]:
-    """Entity types from a comma-separated list; IP stands for IP_ADDRESS, ALL or nothing for no restriction."""
+def entities_of(names: str | Sequence[str] | None, every: bool = False) -> tuple[str, ...]:
+    """Entity types from a list or a comma-separated text; IP stands for IP_ADDRESS; nothing, or ALL, for no
+    restriction. every: ALL means each type, as it does in a list of types that aren't wanted."""
     parts = names.split(",") if isinstance(names, str) else list(names or ())
     found = [{"IP": "IP_ADDRESS"}.get(p.strip().upper(), p.strip().upper()) for p in parts if p.strip()]
     if "ALL" in found:
-        return ()
+        return ENTITY_TYPES if every else ()
     if unknown := [f for f in found if f not in ENTITY_TYPES]:
         raise ValueError(f"unknown entity types {unknown}")
     return tuple(dict.fromkeys(found))

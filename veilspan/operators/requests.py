@@ -140,10 +140,11 @@ def process(df: DataFrame, id_col: str, deny: Sequence[str] = (), max_body: int
     rows = resolve_scope(df, **(scope or {}))
     early = F.when(F.col("rejected").isNotNull(), 401).when(~within(F.col("body"), max_body), 413)
     rows = scrub_query(rows.withColumn("status", early), "query", **options)
-    live = rows.where("status IS NULL")
-    bodies = payload.scrub(live, [id_col], policy=policy, **options).select(id_col, "sanitized", F.col("findings").alias("__body"))
+    # a request that goes no further has no body from here on
+    live = F.when(F.col("status").isNull(), F.col("body"))
+    rows = payload.with_scrubbed(rows.withColumn("__live", live), "__live", "content_type", policy, **options)
     none = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<int>"))
-    out = rows.join(bodies, id_col, "left").withColumn("findings", F.when(F.col("status").isNull(), reports.merge(F.coalesce("__body", none), F.coalesce("query_findings", none))).otherwise(none))
+    out = rows.withColumn("findings", F.when(F.col("status").isNull(), reports.merge(F.coalesce("findings", none), F.coalesce("query_findings", none))).otherwise(none))
     out = out.withColumn("denied", reports.denied(F.col("findings"), deny)).withColumn("request_id", request_id(F.col("headers"))).withColumn("model", model_name(F.col("body")))
     return out.withColumn("status", F.coalesce("status", F.when(F.size("denied") > 0, 400).otherwise(200))).select(id_col, "org_id", "workspace_id", "conversation_id", "user_id", "request_id", "model", "rejected", "sanitized", "scrubbed_query", "findings", "denied", "status")
 

@@ -16,6 +16,9 @@ from veilspan.functions import recognizers as R
 from veilspan.functions import validators
 from veilspan.functions.dialect import java
 
+_CUT = "\ufdef"
+#: Any characters but those that part texts.
+ANY_INSIDE = "[^\ufdd0-\ufdef]*?"
 CANDIDATE = "array<struct<ord:int,entity:string,priority:int,start:bigint,end:bigint,value:string>>"
 SPAN = "array<struct<start:bigint,end:bigint,entity:string,value:string>>"
 
@@ -24,35 +27,52 @@ def _none() -> Column:
     return F.array().cast(CANDIDATE)
 
 
+def once(value: Column) -> Column:
+    """The value, found once a row: the optimizer copies no expression that isn't deterministic into its uses, of which
+    those within a lambda would find it again for each element."""
+    return F.when(F.monotonically_increasing_id() >= 0, value)
+
+
 def folded(text: Column) -> Column:
     """The text in lower case as word gates read it; the long s folds to s, as patterns see it."""
     return F.replace(F.lower(text), F.lit("\u017f"), F.lit("s"))
 
 
-def matches(text: Column, recognizer: R.Recognizer, order: int, low: Column | None = None) -> Column:
-    """All candidates of one recognizer, leftmost first, without overlaps among themselves. low: folded() of the text."""
-    p = java(recognizer.pattern)
-    whole, before, value = (F.regexp_extract_all(text, F.lit(p), F.lit(k)) for k in (0, 1, 2))
-    gaps = F.slice(F.split(text, p, -1), 1, F.size(whole))
-    parts = F.arrays_zip(gaps.alias("gap"), whole.alias("whole"), before.alias("before"), value.alias("value"))
+def gate(text: Column, recognizer: R.Recognizer, low: Column | None = None) -> Column:
+    """A cheap test that every text with a match of a recognizer passes, and every text around one."""
+    if not recognizer.gate:
+        return F.lit(True)
+    kind, what = recognizer.gate
+    if kind == "words":
+        return _any(folded(text) if low is None else low, what.split("|"))
+    return F.contains(text, F.lit(what)) if kind == "has" else text.rlike(what)
+
+
+def matches(text: Column, recognizer: R.Recognizer, order: int, low: Column | None = None, inside: bool = False) -> Column:
+    """All candidates of one recognizer, leftmost first, without overlaps among themselves. low: folded() of the text;
+    inside: nothing is matched across noncharacters. A recognizer that is all value has no groups to be sought for."""
+    p = java(recognizer.pattern.replace(".*?", ANY_INSIDE) if inside else recognizer.pattern)
+    whole = F.regexp_extract_all(text, F.lit(p), F.lit(0))
+    bare = not recognizer.before and not recognizer.after
+    before, value = (None, whole) if bare else (F.regexp_extract_all(text, F.lit(p), F.lit(k)) for k in (1, 2))
+    # cut at a sign that the text lacks: a pattern to cut at would be compiled for each text
+    cut = F.when(F.contains(text, F.lit(_CUT)), F.split(text, p, -1)).otherwise(F.split(F.regexp_replace(text, p, _CUT), _CUT, -1))
+    gaps = F.slice(cut, 1, F.size(whole))
+    parts = F.arrays_zip(gaps.alias("gap"), *([whole.alias("value")] if bare else [whole.alias("whole"), before.alias("before"), value.alias("value")]))
 
     def step(acc: Column, x: Column) -> Column:
         begin = acc["at"] + F.length(x["gap"])
-        start = begin + F.length(x["before"])
-        one = F.struct(F.lit(order).alias("ord"), F.lit(recognizer.entity).alias("entity"), F.lit(recognizer.priority).alias("priority"), start.alias("start"), (start + F.length(x["value"])).alias("end"), x["value"].alias("value"))
-        return F.struct((begin + F.length(x["whole"])).alias("at"), F.concat(acc["out"], F.array(one)).alias("out"))
+        start = begin if bare else begin + F.length(x["before"])
+        one = F.struct(
+            F.lit(order).alias("ord"), F.lit(recognizer.entity).alias("entity"), F.lit(recognizer.priority).alias("priority"),
+            start.alias("start"), (start + F.length(x["value"])).alias("end"), x["value"].alias("value"),
+        )
+        return F.struct((begin + F.length(x["value" if bare else "whole"])).alias("at"), F.concat(acc["out"], F.array(one)).alias("out"))
 
     found = F.aggregate(parts, F.struct(F.lit(0).cast("long").alias("at"), _none().alias("out")), step, lambda acc: acc["out"])
     if recognizer.valid:
         found = F.filter(found, lambda c: validators.VALID[recognizer.valid](c["value"]))
-    has = text.rlike(p)
-    if recognizer.gate:
-        kind, what = recognizer.gate
-        if kind == "words":
-            passes = _any(folded(text) if low is None else low, what.split("|"))
-        else:
-            passes = F.contains(text, F.lit(what)) if kind == "has" else text.rlike(what)
-        has = passes & has
+    has = gate(text, recognizer, low) & text.rlike(p)
     return F.when(has, found).otherwise(_none())
 
 
@@ -78,14 +98,21 @@ def false_positive(text: Column, c: Column) -> Column:
     return (c["entity"] == "MODEL_PRIVATE") | ((c["entity"] == "SECRET") & benign)
 
 
-def candidates(text: Column, profile: str = "broad", entities: Sequence[str] = (), exclude: Sequence[str] = (), only: Sequence[str] = (), external: Column | None = None, low: Column | None = None) -> Column:
-    """All candidates of a text. entities: the types wanted, all if empty; exclude: types not wanted; only: recognizers
-    by name; external: candidates found elsewhere; low: folded() of the text, if it is at hand. Recognizers of unwanted types don't run."""
-    wanted = [e for e in (entities or R.ENTITY_TYPES) if e not in exclude]
-    runs = [(k, r) for k, r in enumerate(R.RECOGNIZERS) if r.entity in wanted and (profile == "broad" or r.transcript) and (not only or r.name in only)]
+def _runs(profile: str | None, entities: str | Sequence[str] | None, exclude: str | Sequence[str] | None, only: Sequence[str]) -> tuple[str, list[str], list[tuple[int, R.Recognizer]]]:
+    """The profile, the types wanted and the recognizers that run, whatever the case in which they are named."""
+    profile, chosen, out = R.profile_of(profile), R.entities_of(entities), R.entities_of(exclude, every=True)
+    wanted = [e for e in (chosen or R.ENTITY_TYPES) if e not in out]
+    return profile, wanted, [(k, r) for k, r in enumerate(R.RECOGNIZERS) if r.entity in wanted and (profile == "broad" or r.transcript) and (not only or r.name in only)]
+
+
+def candidates(text: Column, profile: str | None = "broad", entities: str | Sequence[str] | None = (), exclude: str | Sequence[str] | None = (), only: Sequence[str] = (), external: Column | None = None, low: Column | None = None, inside: bool = False) -> Column:
+    """All candidates of a text. profile: broad or transcript in any case; others are broad. entities: the types wanted, all
+    if empty or ALL among them; exclude: types not wanted; only: recognizers by name; external: candidates found elsewhere;
+    low: folded() of the text, if it is at hand; inside: see matches(). Recognizers of unwanted types don't run."""
+    profile, wanted, runs = _runs(profile, entities, exclude, only)
     parts = []
     for k, r in runs:
-        found = matches(text, r, k, low)
+        found = matches(text, r, k, low, inside)
         if profile == "transcript" and r.valid == "card":
             found = F.filter(found, lambda c: _any(around(text, c["start"], c["end"], R.CARD_WINDOW), R.CARD_TERMS))
         parts.append(found)

@@ -31,18 +31,27 @@ def assign(findings: DataFrame, scope: Sequence[str], order: Sequence[str]) -> D
     return numbered.select(*scope, "entity", "value", "n", placeholder(F.col("entity"), F.col("n")).alias("surrogate"))
 
 
+def _scope_key(scope: Sequence[str]) -> Column:
+    """A scope as one text; null columns are values of their own."""
+    return F.to_json(F.struct(*scope))
+
+
 def rewrite_scoped(df: DataFrame, id_cols: Sequence[str], scope: Sequence[str], text_col: str = "text", spans_col: str = "spans", order: Sequence[str] = ()) -> DataFrame:
     """df's ids and scope with the text rewritten by placeholders of its scope. df has a spans column. order: columns
-    that put the rows of a scope in order; the ids, if none."""
+    that put the rows of a scope in order; the ids, if none. A row's placeholders follow from its scope, text and spans
+    alone and are matched by a digest of these, so rows that share an id don't mix and repeated texts are numbered once."""
     from veilspan.operators.spans import rewrite
 
-    first = [*(order or id_cols)]
-    found = df.select(*dict.fromkeys([*id_cols, *scope, *first]), F.posexplode_outer(spans_col).alias("pos", "s")).where("s IS NOT NULL")
+    first, spans = [*(order or id_cols)], F.col(spans_col)
+    digest = F.when(F.size(spans) > 0, F.sha2(F.concat_ws("\0", _scope_key(scope), F.to_json(spans), F.col(text_col)), 256))
+    rows = df.withColumn("__scope", _scope_key(scope)).withColumn("__digest", digest)
+    found = rows.where("__digest IS NOT NULL").select("__scope", "__digest", *dict.fromkeys(first), F.posexplode(spans_col).alias("pos", "s"))
     found = found.select("*", F.col("s.entity").alias("entity"), F.col("s.value").alias("value"))
-    named = found.join(assign(found, scope, [*first, "pos"]), [*scope, "entity", "value"])
-    names = named.groupBy(*id_cols).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "surrogate"))), lambda x: x["surrogate"]).alias("__names"))
-    back = df.join(names, list(id_cols), "left").withColumn("__names", F.coalesce("__names", F.array().cast("array<string>")))
-    return back.select(*id_cols, *[c for c in scope if c not in id_cols], rewrite(F.col(text_col), F.col(spans_col), F.col("__names")).alias("redacted"))
+    once = found.select("__scope", "__digest", "pos", "entity", "value").distinct()
+    named = once.join(assign(found, ["__scope"], [*first, "pos"]), ["__scope", "entity", "value"])
+    names = named.groupBy("__digest").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "surrogate"))), lambda x: x["surrogate"]).alias("__names"))
+    back = rows.join(names, "__digest", "left").withColumn("__names", F.coalesce("__names", F.array().cast("array<string>")))
+    return back.select(*id_cols, *[c for c in scope if c not in id_cols], rewrite(F.col(text_col), spans, F.col("__names")).alias("redacted"))
 
 
 def restore(text: Column, originals: Column) -> Column:
@@ -54,16 +63,26 @@ def restore(text: Column, originals: Column) -> Column:
     return F.when(F.size(names) > 0, done).otherwise(text)
 
 
+PLACEHOLDER = r"(\[[A-Z_]+_[0-9]+\])"
+
+
+def scope_originals(df: DataFrame, mapping: DataFrame, scope: Sequence[str], text_col: str, out: str = "originals") -> DataFrame:
+    """df with a map from the placeholders in its text to their originals in its scope; null if it holds none. mapping:
+    (scope, surrogate, value). A row is matched, by a digest of scope and text, with the placeholders that it holds, so no
+    task gathers the whole mapping of a scope and rows that share an id don't mix."""
+    held = F.array_distinct(F.regexp_extract_all(text_col, F.lit(PLACEHOLDER), F.lit(1)))
+    digest = F.when(F.col(text_col).rlike(PLACEHOLDER), F.sha2(F.concat_ws("\0", _scope_key(scope), F.col(text_col)), 256))
+    rows = df.withColumn("__scope", _scope_key(scope)).withColumn("__digest", digest)
+    asked = rows.where("__digest IS NOT NULL").select("__scope", "__digest", F.explode(held).alias("surrogate")).distinct()
+    known = mapping.select(_scope_key(scope).alias("__scope"), "surrogate", F.col("value").alias("__value"))
+    maps = asked.join(known, ["__scope", "surrogate"]).groupBy("__digest").agg(F.map_from_entries(F.collect_list(F.struct("surrogate", "__value"))).alias(out))
+    return rows.join(maps, "__digest", "left").drop("__digest", "__scope")
+
+
 def restore_scoped(df: DataFrame, mapping: DataFrame, scope: Sequence[str], text_col: str = "text") -> DataFrame:
-    """df with restored text. mapping: (scope, surrogate, value); a row is matched with the placeholders that its text
-    holds, so no task gathers the whole mapping of a scope."""
-    key = F.xxhash64(*df.columns)
-    rows = df.withColumn("__key", key)
-    held = rows.select(*scope, "__key", F.explode(F.array_distinct(F.regexp_extract_all(text_col, F.lit(r"(\[[A-Z_]+_[0-9]+\])"), F.lit(1)))).alias("surrogate")).distinct()
-    found = held.join(mapping.select(*scope, "surrogate", F.col("value").alias("__value")), [*scope, "surrogate"])
-    maps = found.groupBy("__key").agg(F.map_from_entries(F.collect_list(F.struct("surrogate", "__value"))).alias("__map"))
-    out = rows.join(maps, "__key", "left")
-    return out.withColumn("restored", F.when(F.col("__map").isNull(), F.col(text_col)).otherwise(restore(F.col(text_col), F.col("__map")))).drop("__key", "__map")
+    """df with restored text. mapping: (scope, surrogate, value), at most one value for each."""
+    held = scope_originals(df, mapping, scope, text_col, "__map")
+    return held.withColumn("restored", F.when(F.col("__map").isNull(), F.col(text_col)).otherwise(restore(F.col(text_col), F.col("__map")))).drop("__map")
 
 
 def hmac_sha256(key: bytes, message: Column) -> Column:
