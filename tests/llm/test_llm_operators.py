@@ -248,17 +248,39 @@ def test_near_duplicates(spark, odd, empty, documents):
     got = {r.doc_id: r.class_id for r in near_dup.near_duplicates(frame(spark, rows).repartition(4)).collect()}
     assert got == brute_classes(rows)
     assert near_dup.near_duplicates(empty).count() == 0
-    kept = near_dup.keep_one(odd, near_dup.near_duplicates(odd))
+    kept = near_dup.keep_one(odd)
     assert kept.columns == odd.columns
     assert sorted(r.doc_id for r in kept.where("doc_id IS NOT NULL").collect()) == sorted(set(brute_classes(ODD).values()))
     assert kept.where("doc_id IS NULL").count() == 2
 
 
+def test_near_duplicates_of_documents(documents):
+    rows = [tuple(r) for r in documents.select("doc_id", "text").collect()]
+    assert {r.doc_id: r.class_id for r in near_dup.near_duplicates(documents).collect()} == brute_classes(rows)
+
+
+def test_near_duplicates_of_repeated_ids(spark):
+    a, b, c = (" ".join(f"{x}{k}" for k in range(40)) for x in "abc")
+    rows = [(2, a), (5, a), (5, b), (5, b), (7, c), (7, c + " more"), (9, b), (9, a)]
+    out = near_dup.near_duplicates(frame(spark, rows)).collect()
+    assert collections.Counter((r.doc_id, r.class_id) for r in out) == {(2, 2): 1, (5, 2): 1, (5, 5): 2, (7, 7): 2, (9, 5): 1, (9, 2): 1}
+    kept = collections.Counter((r.doc_id, r.text) for r in near_dup.keep_one(frame(spark, rows)).collect())
+    assert set(kept.values()) == {1} and {t for _, t in kept if t in (a, b)} == {a, b} and sorted(i for i, _ in kept) == [2, 5, 7]
+    # an id that stands everywhere
+    hot = [(1, f"{a} x{k}" if k % 2 else f"{b} y{k}") for k in range(60)] + [(1, c)] * 20
+    assert {t[0] for _, t in [(r.doc_id, r.text) for r in near_dup.keep_one(frame(spark, hot)).collect()]} == {"a", "b", "c"}
+    with pytest.raises(ValueError):
+        near_dup.near_duplicates(spark.createDataFrame([("x", "y")], "doc_id string, text string"))
+
+
 def test_connected(spark):
+    from veilspan.llm._spark import Scratch
+
+    scratch = Scratch(spark)
     edges = [(k, k + 1) for k in range(40)] + [(100, 7), (200, 201), (201, 200), (300, 300)] + [(500, k) for k in range(501, 560)]
-    got = {r.node: r.label for r in near_dup.connected(spark.createDataFrame(edges, "a long, b long")).collect()}
+    got = {r.node: r.label for r in near_dup.connected(spark.createDataFrame(edges, "a long, b long"), scratch).collect()}
     assert got == {k: 0 for k in [*range(41), 100]} | {200: 200, 201: 200} | {k: 500 for k in range(500, 560)}
-    assert near_dup.connected(spark.createDataFrame([], "a long, b long")) is None
+    assert near_dup.connected(spark.createDataFrame([], "a long, b long"), scratch) is None
 
 
 def test_suffix_lm(odd, empty, documents):

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import ByteType, IntegerType, LongType, ShortType
 
 from veilspan.session import ship
 
@@ -28,10 +29,36 @@ def shared_folder(spark: SparkSession) -> str:
 
 def stored(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     """The frame written to the shared folder and read again: its rows are made once and outlive lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", compression).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return Scratch(df.sparkSession).stored(df, name, compression)
+
+
+class Scratch:
+    """Tables of an operator in the shared folder, so that it can delete those that it no longer needs."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, {}
+
+    def stored(self, df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
+        path = f"{shared_folder(self.spark)}/{name}-{uuid.uuid4().hex}"
+        df.write.option("compression", compression).parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self.paths[path] = out
+        return out
+
+    def clear(self, keep: tuple[DataFrame, ...] = ()) -> None:
+        """Delete all tables but some, by the file system that holds them."""
+        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
+        for path, df in list(self.paths.items()):
+            if not any(df is k for k in keep):
+                where = jvm.org.apache.hadoop.fs.Path(path)
+                where.getFileSystem(conf).delete(where, True)
+                del self.paths[path]
+
+
+def whole_ids(df: DataFrame, column: str) -> None:
+    """Raise ValueError unless a column of ids holds whole numbers."""
+    if not isinstance(df.schema[column].dataType, (ByteType, ShortType, IntegerType, LongType)):
+        raise ValueError(f"{column} must hold whole numbers, not {df.schema[column].dataType.simpleString()}")
 
 
 def field_type(df: DataFrame, column: str) -> str:

@@ -3,13 +3,14 @@
 Texts are the weighted sets of their runs of five words. Two texts are linked if the generalised Jaccard similarity of
 these sets is at least THRESHOLD; a class is what links join together.
 
-1. One pass gives each text a digest and BANDS keys of ROWS signature coordinates each. Rows with the same digest are
-   one node from here on, named by its smallest id, so exact copies cost one row each.
+1. One pass gives each row a number of its own, and each text a digest and BANDS keys of ROWS signature coordinates. Rows
+   with the same digest are one node from here on, whatever their ids, so exact copies cost one row each.
 2. Nodes that share a key stand in a bucket. Each bucket has a centre, the member whose buckets are largest in sum: of a
    text and its edited copies that is the text itself. Every member is compared with its centre, exactly.
-3. Buckets whose members are still in different classes are solved whole: all pairs are compared exactly, as products
-   of the members' term matrix, and only links that join classes are given out. Large buckets are cut into blocks of
-   BLOCK members, and each pair of blocks is solved on its own, so no task holds more than two blocks.
+3. Buckets whose members, the centre aside, are still in different classes are solved whole, the centre aside: all pairs
+   are compared exactly, as products of the members' term matrix, and only links that join classes are given out. Of
+   buckets with the same members one is solved. Large buckets are cut into blocks of about BLOCK members and UNITS
+   units of their sets, and each pair of blocks is solved on its own, so no task holds more than two blocks.
 
 No step makes a row for each pair of a bucket. Links become classes by hooking each node to its smallest neighbour
 and contracting, all in tables; nothing that grows with the documents comes to the driver. Joins on keys that may be hot
@@ -18,8 +19,10 @@ have a stored table on the other side, so that adaptive execution can split them
 A pair with similarity 0.8 shares no bucket with a probability of 7e-5; no pair below THRESHOLD is ever linked.
 
 Null texts are empty. Texts without words are alike only if they are equal. A text of fewer than five words has one run.
-Rows that share an id belong to one class; rows without an id take no part, and their class is null. Extra columns are
-ignored. An empty table gives no rows.
+A class is one of texts: rows that share an id but not their text may be in different classes, and each row has the class
+of its own text. A class is named by the smallest id in it; of two classes with the same smallest id, which takes an id
+with several texts, either bears it. Rows without an id take no part, and their class is null. Ids must be whole numbers.
+Extra columns are ignored. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -29,6 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,8 +41,8 @@ from veilspan.llm.fingerprints import weighted_terms
 
 #: Words of a term, similarity of a link, bands of a signature and coordinates of a band.
 SIZE, THRESHOLD, BANDS, ROWS = 5, 0.8, 24, 5
-#: Members of a block; up to so many ids the candidates are sent to all tasks (8 MB), beyond that they are joined.
-BLOCK, SENT_IDS = 192, 1_000_000
+#: Members of a block and units of their sets (128 MB); up to so many ids the candidates are sent to all tasks, beyond that joined.
+BLOCK, UNITS, SENT_IDS = 192, 16 << 20, 500_000
 
 
 def darts(text: np.ndarray, term: np.ndarray, weight: np.ndarray, n: int, k: int) -> np.ndarray:
@@ -94,9 +98,10 @@ def band_keys(signature: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np
 
 
 def signed(docs: DataFrame, id_col: str, text_col: str, size: int, bands: int, rows: int) -> DataFrame:
-    """(id, digest, keys) of each row with an id; no keys for a text without words."""
+    """(row, id, digest, keys) of each row with an id, row a number of its own; no keys for a text without words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        row = TaskContext.get().partitionId() << 40
         for batch in batches:
             for low, high, block in _text.blocks(batch.column(1)):
                 text, term, weight = weighted_terms(block.words(), size)
@@ -106,10 +111,13 @@ def signed(docs: DataFrame, id_col: str, text_col: str, size: int, bands: int, r
                 digests = [hashlib.md5(raw[a:b]).digest() for a, b in zip(ends[:-1], ends[1:], strict=True)]
                 offsets = np.concatenate([[0], np.cumsum(np.where(some, bands, 0))])
                 lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(keys[some].view(np.int64).ravel()))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), pa.array(digests, pa.binary()), lists], names=["id", "digest", "keys"])
+                numbers = pa.array(np.arange(row, row + high - low))
+                row += high - low
+                yield pa.RecordBatch.from_arrays([numbers, batch.column(0).slice(low, high - low), pa.array(digests, pa.binary()), lists], names=["row", "id", "digest", "keys"])
 
+    _spark.whole_ids(docs, id_col)
     chosen = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id IS NOT NULL")
-    return chosen.mapInArrow(run, "id long, digest binary, keys array<long>")
+    return chosen.mapInArrow(run, "row long, id long, digest binary, keys array<long>")
 
 
 def units(texts: pa.Array, size: int) -> list[bytes]:
@@ -127,13 +135,13 @@ def units(texts: pa.Array, size: int) -> list[bytes]:
     return out
 
 
-def similarity(a: bytes, b: bytes) -> float:
-    """The generalised Jaccard similarity of two sets given as units."""
+def similarity(a: bytes, b: bytes, threshold: float = 0.0) -> float:
+    """The generalised Jaccard similarity of two sets given as units; 0 if their sizes alone keep it below threshold."""
     x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
     if not len(x) or not len(y):
         return float(len(x) == len(y))
-    if min(len(x), len(y)) < 0.5 * max(len(x), len(y)):
-        return 0.0  # below any threshold in use; the exact value isn't asked for
+    if min(len(x), len(y)) < threshold * max(len(x), len(y)):
+        return 0.0
     both = np.concatenate([x, y])
     both.sort()
     same = int(np.count_nonzero(both[1:] == both[:-1]))
@@ -185,9 +193,9 @@ def links_between(names: list[int], classes: list[int], sets: list[bytes], thres
     return out
 
 
-def connected(edges: DataFrame) -> DataFrame | None:
+def connected(edges: DataFrame, scratch: _spark.Scratch) -> DataFrame | None:
     """(node, label) of all nodes of edges (a, b); label: the smallest node that it is joined with. None without edges."""
-    store = lambda df: _spark.stored(df, "classes")
+    store = lambda df: scratch.stored(df, "classes")
     left = store(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     labels = None
     while not left.isEmpty():
@@ -209,37 +217,48 @@ def connected(edges: DataFrame) -> DataFrame | None:
     return labels
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """(id, class_id) of each row: its class, named by the smallest id in it."""
-    store = lambda df, name="near": _spark.stored(df, name)
-    kind = docs.schema[id_col].dataType.simpleString()
-    slim = store(signed(docs, id_col, text_col, size, bands, rows))
-    texts = store(slim.groupBy("digest").agg(F.min("id").alias("node"), F.first("keys").alias("keys")))
-    member = texts.select("node", F.explode("keys").alias("key"))
+def classified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> tuple[DataFrame, DataFrame]:
+    """Stored frames (id, digest) of all rows with an id, and (digest, class_id, id, kept) of all texts: id is one that stands with
+    the text, kept tells whether the text stands for its class."""
+    scratch = _spark.Scratch(docs.sparkSession)
+    store = lambda df, name="near": scratch.stored(df, name)
+    slim = store(signed(docs, id_col, text_col, size, bands, rows), "signed")
+    same = slim.groupBy("digest", "id").agg(F.min("row").alias("row"), F.count(F.lit(1)).alias("copies"), F.first("keys").alias("keys"))
+    chosen = F.min(F.struct("id", "row", "copies", "keys"))
+    texts = store(same.groupBy("digest").agg(chosen.alias("x")).select("digest", F.col("x.row").alias("node"), F.col("x.id").alias("id"), F.col("x.copies").alias("copies"), F.col("x.keys").alias("keys")))
+    member = texts.select("node", F.explode(F.array_distinct("keys")).alias("key"))
     sizes = store(member.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where("members > 1"))
-    member = store(member.join(sizes, "key").distinct())
+    member = store(member.join(sizes, "key"))
     weight = store(member.groupBy("node").agg(F.sum("members").alias("weight")))
-    weighed = store(member.join(weight, "node"))
+    weighed = member.join(weight, "node")
+    # rows number the texts, so equal weights go to the one met first
     centre = store(weighed.groupBy("key").agg(F.max(F.struct("weight", (-F.col("node")).alias("minus"))).alias("top")).select("key", (-F.col("top.minus")).alias("centre")))
-    pairs = store(weighed.join(centre, "key").where("node <> centre").select("node", "centre").distinct())
+    others = store(member.select("key", "node").join(centre, "key").where("node <> centre"))
+    pairs = store(others.select("node", "centre").distinct())
 
-    sets = store(_sets(docs, weight.select("node"), id_col, text_col, size), "sets")
+    sets = store(_sets(docs, texts.join(weight.select("node"), "node", "left_semi").select("node", "id", "digest", "copies"), id_col, text_col, size), "sets")
     of = lambda name, col: sets.select(F.col("node").alias(name), F.col("units").alias(col))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, b = batch.column(2).to_pylist(), batch.column(3).to_pylist()
-            good = pa.array([similarity(x, y) >= threshold for x, y in zip(a, b, strict=True)], pa.bool_())
+            good = pa.array([similarity(x, y, threshold) >= threshold for x, y in zip(a, b, strict=True)], pa.bool_())
             yield batch.select([0, 1]).filter(good)
 
     compared = pairs.join(of("node", "u"), "node").join(of("centre", "v"), "centre").select(F.col("node").alias("a"), F.col("centre").alias("b"), "u", "v")
     star = store(compared.mapInArrow(compare, "a long, b long"), "links")
-    labels = connected(star)
+    labels = connected(star, scratch)
 
     label = (lambda df: df.withColumn("label", F.col("node"))) if labels is None else lambda df: df.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    member = store(label(member))
-    parted = store(member.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.max("members").alias("n")).where("low <> high").select("key", F.ceil(F.col("n") / BLOCK).cast("long").alias("blocks")))
-    open_ = member.join(parted, "key").select("key", "node", "label", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).alias("block"))
+    # what has been compared with its centre needs no more of it; the rest of a bucket, if its classes differ
+    sized = sets.select("node", (F.octet_length("units") / 8).cast("long").alias("units"))
+    rest = store(label(others.select("key", "node")).join(sized, "node"))
+    names = [F.sum(F.xxhash64("node", F.lit(k)).cast("decimal(38,0)")).alias(f"sum{k}") for k in (1, 2)]
+    parted = rest.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("n"), F.sum("units").alias("units"), *names).where("low <> high")
+    parted = parted.groupBy("n", "units", "sum1", "sum2").agg(F.min("key").alias("key"))  # of buckets with the same members one
+    blocks = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("units") / UNITS)).cast("long")
+    parted = store(parted.select("key", blocks.alias("blocks")))
+    open_ = rest.join(parted, "key").select("key", "node", "label", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).alias("block"))
     # each pair of blocks, a block with itself included
     open_ = open_.select("key", "node", "label", "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
     open_ = store(open_.select(F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other")).alias("part"), "node", "label"), "open")
@@ -250,28 +269,56 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     more = store(open_.join(of("node", "units"), "node").groupBy("part").applyInArrow(solve, "a long, b long").distinct(), "links")
     if not more.isEmpty():
-        labels = connected(star.unionByName(more))
-    named = texts.select("digest", "node")
-    named = store((named.withColumn("label", F.col("node")) if labels is None else named.join(labels, "node", "left")).select("digest", F.coalesce("label", "node").alias("class_id")))
-    classed = slim.select("id", "digest").join(named, "digest").select("id", "class_id")
-    lost = docs.where(F.col(id_col).cast("long").isNull()).select(F.lit(None).cast("long").alias("id"), F.lit(None).cast("long").alias("class_id"))
-    return classed.unionByName(lost).select(F.col("id").cast(kind).alias(id_col), "class_id")
+        labels = connected(star.unionByName(more), scratch)
+    named = label(texts.select("digest", "node", "id")) if labels is not None else texts.select("digest", "node", "id", F.col("node").alias("label"))
+    # a class by its label; its name and the text that stands for it by the smallest id, then digest
+    top = named.groupBy("label").agg(F.min(F.struct("id", "digest")).alias("top"))
+    named = store(named.join(top, "label").select("digest", F.col("top.id").alias("class_id"), "id", (F.col("digest") == F.col("top.digest")).alias("kept")), "named")
+    rows_of = store(slim.select("id", "digest"), "rows")
+    scratch.clear(keep=(named, rows_of))
+    return rows_of, named
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """(id, class_id) of each row: the class of its text, named by the smallest id in it."""
+    slim, named = classified(docs, id_col, text_col, size, threshold, bands, rows)
+    classed = slim.join(named.select("digest", "class_id"), "digest").select("id", "class_id")
+    lost = docs.where(F.col(id_col).isNull()).select(F.lit(None).cast("long").alias("id"), F.lit(None).cast("long").alias("class_id"))
+    return classed.unionByName(lost).select(F.col("id").cast(_spark.field_type(docs, id_col)).alias(id_col), "class_id")
+
+
+def _digest(text_col: str) -> F.Column:
+    """The digest of a text as signed() makes it."""
+    return F.unhex(F.md5(F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")))
 
 
 def _sets(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
-    """(node, units) of the texts of some nodes."""
+    """(node, units) of the texts of some nodes (node, id, digest, copies), once each: a node's text is sought by its id and
+    digest, and where an id stands with the same text repeatedly one of the copies is taken."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(units(batch.column(1), size), pa.binary())], names=["node", "units"])
 
-    few = nodes.count() <= SENT_IDS
-    texts = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).cast("string").alias("text"))
-    return texts.join(F.broadcast(nodes) if few else nodes, "node").mapInArrow(run, "node long, units binary")
-
-
-def keep_one(docs: DataFrame, classes: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The rows of docs that name their class, one each; rows without an id stay."""
-    own = _spark.stored(classes.where(F.col(id_col) == F.col("class_id")).select(F.col(id_col)).distinct(), "kept")
-    kept = docs.where(F.col(id_col).isNotNull()).join(own, id_col, "left_semi").dropDuplicates([id_col])
-    return kept.unionByName(docs.where(F.col(id_col).isNull()))
+    few = nodes.count() <= SENT_IDS  # 40 bytes each, so 20 MB
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    wanted = nodes.withColumnRenamed("digest", "__digest")
+    found = texts.join(F.broadcast(wanted) if few else wanted, "id").where(_digest("text") == F.col("__digest"))
+    made = found.where("copies = 1").select("node", "text")
+    again = found.where("copies > 1").groupBy("node").agg(F.first("text").alias("text"))
+    return made.unionByName(again).mapInArrow(run, "node long, units binary")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of docs that stand for their class, one each: its text with the smallest id, then the smallest digest. Of
+    rows with that id and text, the one whose columns have the smallest hash stays. Rows without an id stay."""
+    rows, named = classified(docs, id_col, text_col, **options)
+    kept = named.where("kept").select("digest", "id")
+    # how often an id stands with its text, of those that stay
+    copies = rows.groupBy("id", "digest").agg(F.count(F.lit(1)).alias("__copies")).join(kept, ["id", "digest"], "left_semi")
+    copies = _spark.stored(copies.select(F.col("id").alias("__id"), F.col("digest").alias("__digest"), "__copies"), "kept")
+    found = docs.join(copies, F.col(id_col).cast("long") == F.col("__id")).where(_digest(text_col) == F.col("__digest"))
+    once = found.where("__copies = 1").select(*docs.columns)
+    hashed = [f.name for f in docs.schema if "map<" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString()]
+    again = found.where("__copies > 1").groupBy("__id", "__digest").agg(F.min_by(F.struct(*docs.columns), F.xxhash64(*hashed)).alias("row")).select("row.*")
+    return once.unionByName(again).unionByName(docs.where(F.col(id_col).isNull()))
