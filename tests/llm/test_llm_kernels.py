@@ -1,6 +1,7 @@
 """The kernels against the libraries and plain versions of themselves."""
 
 import collections
+import math
 import random
 
 import numpy as np
@@ -144,17 +145,35 @@ def test_ftrl_learns_and_stays_sparse():
     assert toxicity.fit_ftrl([]) [2] == -30.0
 
 
-def test_co_training_uses_the_pool():
-    pick = random.Random(6)
+def plain_ftrl(rows, alpha=toxicity.ALPHA, beta=toxicity.BETA, l1=toxicity.LAMBDA1, l2=toxicity.LAMBDA2, passes=toxicity.PASSES):
+    """FTRL-proximal, a coordinate at a time."""
+    z, n = {}, {}
 
-    def row(good):
-        return [np.array(sorted({(1 if good else 2) if pick.random() < 0.9 else 3, pick.randrange(10, 90)})), np.array(sorted({(5 if good else 6) if pick.random() < 0.9 else 7, pick.randrange(10, 90)}))]
+    def weight(i, bias=False):
+        own = z.get(i, 0.0)
+        if not bias and abs(own) <= l1:
+            return 0.0
+        rate = (beta + math.sqrt(n.get(i, 0.0))) / alpha
+        return -own / rate if bias else -(own - math.copysign(l1, own)) / (rate + l2)
 
-    labelled = [(row(k % 2), k % 2) for k in range(200)]
-    model = quality.co_train(labelled, [row(k % 2) for k in range(300)])
-    scores = lambda rows: np.array([model.scores([(np.zeros(len(x), int), x) for x in r], 1)[2][0] for r in rows])
-    assert scores([row(1) for _ in range(50)]).mean() > 0.8 > 0.2 > scores([row(0) for _ in range(50)]).mean()
-    assert quality.co_train([], []) is quality.NEUTRAL
+    for _ in range(passes):
+        for places, y in rows:
+            w = {i: weight(i, i == "bias") for i in [*places.tolist(), "bias"]}
+            g = 1 / (1 + math.exp(-max(-30.0, min(30.0, sum(w.values()))))) - y
+            for i, x in w.items():
+                before = n.get(i, 0.0)
+                z[i] = z.get(i, 0.0) + g - (math.sqrt(before + g * g) - math.sqrt(before)) / alpha * x
+                n[i] = before + g * g
+    return {i: weight(i) for i in z if i != "bias" and weight(i)}, weight("bias", True)
+
+
+def test_ftrl_equals_a_plain_version():
+    pick = random.Random(9)
+    rows = [(np.array(sorted({pick.randrange(300) for _ in range(12)} | ({301} if k % 3 == 0 else set()))), int(k % 3 == 0)) for k in range(300)]
+    place, weight, bias = toxicity.fit_ftrl(rows)
+    want, own = plain_ftrl(rows)
+    assert place.tolist() == sorted(want) and abs(bias - own) < 1e-6
+    assert all(abs(w - want[p]) < 1e-6 for p, w in zip(place.tolist(), weight.tolist(), strict=True))
 
 
 def plain_tree_score(tree_rows, text):

@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from veilspan.llm import bpe, fingerprints, knn, license_scan, near_dup, packing, quality, queries, suffix_lm, toxicity, warc
+from veilspan.llm import _text, bpe, fingerprints, knn, license_scan, near_dup, packing, quality, queries, suffix_lm, toxicity, warc
 
 BYTE, WORD = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
 LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -95,6 +95,82 @@ def test_quality(spark, documents, odd, empty, sf_dir):
     assert quality.score(bare, quality.train(bare, labels)).count() == len(ODD)
 
 
+def plain_co_training(rows, labels):
+    """Co-training row by row, over the features that the operator gives a row."""
+    column = lambda k: pa.array([r[k] for r in rows], pa.string())
+    lists = [[], []]
+    for low, high, block in _text.blocks(column(1)):
+        for view, (text, place) in enumerate(quality.views(block, [column(2 + k).slice(low, high - low) for k in range(3)])):
+            lists[view] += [place[text == k].tolist() for k in range(high - low)]
+    order = labels["order"]
+    apart, base = order[3::4], [i for k, i in enumerate(order) if k % 4 != 3]
+    at = {r[0]: k for k, r in enumerate(rows)}
+    y = labels["label"]
+
+    def ratios(given):
+        out = []
+        for view in (0, 1):
+            n = [[0.0, collections.Counter()] for _ in (0, 1)]
+            for i in base:
+                n[y[i]][0] += 1
+                n[y[i]][1].update(lists[view][at[i]])
+            for label in (0, 1):
+                own = [k for k, called in given[view] if called == label]
+                weight = min(1.0, n[label][0] / len(own)) if own else 0.0
+                n[label][0] += weight * len(own)
+                for k in own:
+                    for p in lists[view][k]:
+                        n[label][1][p] += weight
+            ratio = {}
+            for p in set(n[0][1]) | set(n[1][1]):
+                if n[0][1][p] + n[1][1][p] >= quality.LEAST:
+                    ratio[p] = math.log((n[1][1][p] + 1) / (n[1][0] + 2)) - math.log((n[0][1][p] + 1) / (n[0][0] + 2))
+            out.append(ratio)
+        return out
+
+    def odds(ratio, view, k, calibration):
+        own = [ratio[view][p] for p in lists[view][k] if ratio[view].get(p)]
+        return calibration[view][0] * (sum(own) / max(1, len(own))) + calibration[view][1]
+
+    plain = ((1.0, 0.0), (1.0, 0.0))
+
+    def calibrated(ratio):
+        means = [np.array([odds(ratio, view, at[i], plain) for i in sorted(apart)]) for view in (0, 1)]
+        return quality.calibrated(quality.NEUTRAL, means, np.array([y[i] for i in sorted(apart)], float))
+
+    ratio = ratios([[], []])
+    model = calibrated(ratio)
+    for _ in range(quality.ROUNDS):
+        given = [[], []]
+        for k, r in enumerate(rows):
+            if r[0] not in y:
+                p = [1 / (1 + math.exp(-odds(ratio, view, k, model.calibration))) for view in (0, 1)]
+                call = [1 if x >= quality.SURE else 0 if x <= 1 - quality.SURE else None for x in p]
+                if None in call or call[0] == call[1]:
+                    for view in (0, 1):
+                        if call[1 - view] is not None:
+                            given[view].append((k, call[1 - view]))
+        ratio = ratios(given)
+        model = calibrated(ratio)
+    a, b, c = model.combined
+    return {r[0]: 1 / (1 + math.exp(-(a * odds(ratio, 0, k, model.calibration) + b * odds(ratio, 1, k, model.calibration) + c))) for k, r in enumerate(rows)}, sum(map(len, given))
+
+
+def test_quality_equals_a_plain_version(spark):
+    pick = np.random.default_rng(3)
+    good = lambda: " ".join(pick.choice(["plain", "Words", "here", "and", "There", "so", "it", "goes"], 40))
+    bad = lambda: " ".join(pick.choice(["x!!", "BUY", "###", "a|b", "$$9", "so"], 40))
+    rows = [(k, good() if k % 3 else bad(), "en" if k % 3 else "xx", f"s{k % 5}", 100 + k % 7) for k in range(360)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    truth = spark.createDataFrame([(k, int(k % 3 > 0)) for k in range(0, 360, 2)], "doc_id long, quality int")
+    order = [r.doc_id for r in truth.orderBy(quality.F.xxhash64("doc_id"), "doc_id").collect()]
+    page = [(i, t, l, s, str(int(math.log2(n + 1)))) for i, t, l, s, n in rows]
+    want, handed = plain_co_training(page, {"order": order, "label": {k: int(k % 3 > 0) for k in range(0, 360, 2)}})
+    got = {r.doc_id: r.score for r in quality.score(docs, quality.train(docs, truth)).collect()}
+    assert handed > 100 and max(abs(got[i] - want[i]) for i in want) < 1e-6
+    assert all((got[i] >= 0.5) == (i % 3 > 0) for i in got)
+
+
 def brute_knn(rows, k=5):
     valid = [(i, [math.floor(256 * x) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
     out = set()

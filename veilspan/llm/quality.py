@@ -2,20 +2,25 @@
 
 The content view sees how the words of a text are written: the shapes of what stands between white space (letters,
 capitals and digits as runs, other signs as they are), each with its share of the text, pairs of neighbouring shapes, and how much
-the words repeat. The metadata view sees the page around them: language, source, recorded length, and measures of its
-layout. Each view has its own logistic regression (FTRL-proximal).
-
-Both start from the same labelled rows. In each of ROUNDS rounds either view scores a pool of unlabelled rows and
-hands those that it is most sure of, with its own label, to the other; a row leaves the pool once it has been handed
-over. Each view is then calibrated (Platt scaling) on labelled rows that were never trained on, and a logistic regression
-over the two calibrated scores combines them; with no such rows the mean of the two log-odds stands instead.
-
-Fitting reads at most LABELLED labelled and POOL unlabelled rows, those with the smallest hash of their id; that bounds
-the one task that fits. Scoring is one narrow pass over all rows. The score is the probability that quality is 1.
+the words repeat. The metadata view sees the columns beside the text and nothing of the text: language, source and
+recorded length, alone and in pairs. Each view is a naive Bayes classifier over the places its features are hashed to: its
+log-odds are the mean, over a row's places, of the logarithm of how much more often a place stands with label 1.
+A view is calibrated (Platt scaling) on labelled rows that are never trained on, every fourth.
+
+Both views start from the same labelled rows. In each of ROUNDS rounds they score every unlabelled row of the table, and
+each hands the rows that it is sure of, with its own label, to the other; a row that the two are sure of but call differently is left alone. What
+is handed over are sums, how often each place stands with each label, so the exchange covers all rows of a table of any
+size in one narrow pass a round, and what comes to the driver has 2^BITS entries a view at most. The sums of a round
+stand in for those of the round before and weigh as much as the labelled rows of their label, at most. At the end
+a logistic regression over the two calibrated scores combines them; with too few labelled rows to calibrate on the mean of
+the two log-odds stands instead.
+
+At most LABELLED labelled rows are read, those with the smallest hash of their id; of rows that share an id one. The score
+is the probability that quality is 1; scoring is one more narrow pass.
 
 Null and empty texts have the features of an empty page. Null metadata is a value of its own. Labels that are null, or
 ids with two different labels, take no part in fitting. Repeated rows each get their score. Extra columns are ignored;
-a missing metadata column counts as null. Without both labels among the rows every score is 0.5.
+a missing metadata column counts as null. Ids must be whole numbers. Without both labels among the rows every score is 0.5.
 """
 
 from __future__ import annotations
@@ -28,11 +33,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilspan.llm import _text
-from veilspan.llm.toxicity import fit_ftrl
+from veilspan.llm import _spark, _text
 
-#: Hash places of a view's features; rows read in fitting; rounds; rows that a view hands over in a round, for each label.
-BITS, LABELLED, POOL, ROUNDS, HANDED = 18, 8_000, 8_000, 3, 400
+#: Hash places of a view's features; labelled rows read in fitting; rounds; texts that a place must stand in to count.
+BITS, LABELLED, ROUNDS, LEAST = 16, 8_000, 3, 5
 #: A view must be at least this sure of a row that it hands over; documents below KEEP are rejected.
 SURE, KEEP = 0.95, 0.5
 METADATA = ("lang", "source", "n_chars")
@@ -94,15 +98,10 @@ def views(block: _text.Block, meta: list[pa.Array]) -> list[tuple[np.ndarray, np
     np.maximum.at(most, (mixed[first] >> _U(40)).astype(np.int64), np.diff(np.append(first, len(mixed))))
     every = np.arange(n)
     content += [(every, _place(4, _share_bin(per - distinct, per))), (every, _place(5, _share_bin(most, per) * 16 + np.minimum(np.log2(per + 1), 15).astype(np.int64)))]
-    # metadata: the page's columns and layout
-    sums = lambda flags: np.diff(np.concatenate([[0], np.cumsum(flags)])[block.bounds])
-    size = np.diff(block.bounds)
-    lines = sums(data == 10) + 1
-    page = [(every, _named(11 + k, column)) for k, column in enumerate(meta)]
-    small, large, sign = sums(kind == 1), sums(kind == 2), sums((kind > 32) & (kind < 128))
-    page += [(every, _place(21, np.log2(size + 1).astype(np.int64))), (every, _place(22, np.log2(lines).astype(np.int64))), (every, _place(23, np.log2(size / lines + 1).astype(np.int64)))]
-    page += [(every, _place(24 + k, _share_bin(part, size))) for k, part in enumerate((large, sign, sums(kind == 3), sums(~keep), size - small))]
-    page += [(every, _place(31, _share_bin(large, small + large) * 16 + _share_bin(sign, size))), (every, _place(32, np.minimum(size // np.maximum(per, 1), 40))), (every, _place(33, (10 * sign // np.maximum(size, 1)) * 16 + _share_bin(sums(~keep), size)))]
+    # metadata: the columns beside the text
+    lang, source, length = (_named(11 + k, column) for k, column in enumerate(meta))
+    pair = lambda k, x, y: _place(k, x * (1 << BITS) + y)
+    page = [(every, x) for x in (lang, source, length, pair(14, lang, source), pair(15, lang, length), pair(16, source, length))]
     out = []
     for parts in (content, page):
         joined = np.unique(np.concatenate([t for t, _ in parts]) << np.int64(BITS) | np.concatenate([p for _, p in parts]))
@@ -135,71 +134,90 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, steps: int = 50)
 
 @dataclass(frozen=True)
 class Model:
-    """The weights and bias of the two views, their calibration (slope, offset), and the weights that combine them."""
+    """For each view the log-ratio of each place and its calibration (slope, offset), and the weights that combine them."""
 
-    weights: tuple[np.ndarray, np.ndarray]
-    bias: tuple[float, float]
+    ratios: tuple[np.ndarray, np.ndarray]
     calibration: tuple[tuple[float, float], tuple[float, float]]
     combined: tuple[float, float, float]
 
+    def means(self, found: list[tuple[np.ndarray, np.ndarray]], n: int) -> list[np.ndarray]:
+        """For each view the mean log-ratio of each row's places that have one."""
+        out = []
+        for (text, place), ratio in zip(found, self.ratios, strict=True):
+            own = ratio[place]
+            out.append(np.bincount(text, weights=own, minlength=n) / np.maximum(1, np.bincount(text, weights=own != 0, minlength=n)))
+        return out
+
     def log_odds(self, found: list[tuple[np.ndarray, np.ndarray]], n: int) -> list[np.ndarray]:
-        return [slope * (b + np.bincount(t, weights=w[p], minlength=n)) + offset for (t, p), w, b, (slope, offset) in zip(found, self.weights, self.bias, self.calibration, strict=True)]
+        return [slope * m + offset for m, (slope, offset) in zip(self.means(found, n), self.calibration, strict=True)]
 
     def scores(self, found: list[tuple[np.ndarray, np.ndarray]], n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Content score, metadata score and combined score."""
         a, b = self.log_odds(found, n)
         return _sigmoid(a), _sigmoid(b), _sigmoid(self.combined[0] * a + self.combined[1] * b + self.combined[2])
 
+    def handed(self, found: list[tuple[np.ndarray, np.ndarray]], n: int, sure: float) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each view the rows handed to it, and their labels, by the other one."""
+        p = [_sigmoid(x) for x in self.log_odds(found, n)]
+        call = [np.where(x >= sure, 1, np.where(x <= 1 - sure, 0, -1)) for x in p]
+        agreed = (call[0] < 0) | (call[1] < 0) | (call[0] == call[1])
+        rows = [np.flatnonzero((call[1 - view] >= 0) & agreed) for view in (0, 1)]
+        return [(rows[view], call[1 - view][rows[view]]) for view in (0, 1)]
 
-NEUTRAL = Model((np.zeros(1 << BITS), np.zeros(1 << BITS)), (0.0, 0.0), ((1.0, 0.0), (1.0, 0.0)), (0.0, 0.0, 0.0))
 
+NEUTRAL = Model((np.zeros(1 << BITS), np.zeros(1 << BITS)), ((1.0, 0.0), (1.0, 0.0)), (0.0, 0.0, 0.0))
 
-def co_train(labelled: list[tuple[list[np.ndarray], int]], pool: list[list[np.ndarray]], rounds: int = ROUNDS, handed: int = HANDED, sure: float = SURE) -> Model:
-    """Fit on rows given as the places of their two views. Every fourth labelled row is kept for calibration."""
-    if len({y for _, y in labelled}) < 2:
-        return NEUTRAL
-    apart = labelled[3::4]
-    base = [r for k, r in enumerate(labelled) if k % 4 != 3]
-    if len({y for _, y in apart}) < 2 or len({y for _, y in base}) < 2:
-        apart, base = [], labelled
-    extra: list[list[tuple[np.ndarray, int]]] = [[], []]
-    free = np.ones(len(pool), bool)
-
-    def fit(view: int) -> tuple[np.ndarray, float]:
-        place, weight, bias = fit_ftrl([(x[view], y) for x, y in base] + extra[view], alpha=0.5, beta=1.0, lambda1=1.0, lambda2=0.5, passes=4)
-        dense = np.zeros(1 << BITS)
-        dense[place] = weight
-        return dense, bias
-
-    fitted = [fit(0), fit(1)]
-    raw = lambda view, rows: np.array([fitted[view][1] + fitted[view][0][x].sum() for x in rows])
-    for _ in range(rounds if len(pool) else 0):
-        given = []
-        for view in (0, 1):
-            p = _sigmoid(raw(view, [x[view] for x in pool]))
-            for label, order in ((1, np.argsort(-p, kind="stable")), (0, np.argsort(p, kind="stable"))):
-                good = order[(free[order]) & ((p[order] if label else 1 - p[order]) >= sure)][:handed]
-                given += [(1 - view, k, label) for k in good.tolist()]
-        # rows that the views call differently are left alone
-        called: dict[int, set[int]] = {}
-        for _, k, label in given:
-            called.setdefault(k, set()).add(label)
-        for to, k, label in given:
-            if len(called[k]) == 1:
-                extra[to].append((pool[k][to], label))
-                free[k] = False
-        fitted = [fit(0), fit(1)]
-    calibration, combined = [(1.0, 0.0), (1.0, 0.0)], (0.5, 0.5, 0.0)
-    if apart:
-        y = np.array([y for _, y in apart], float)
-        odds = []
-        for view in (0, 1):
-            own = raw(view, [x[view] for x, _ in apart])
-            slope, offset = logistic(own[:, None], y, ridge=0.1)
-            calibration[view] = (float(max(slope, 0.0)), float(offset))
-            odds.append(calibration[view][0] * own + calibration[view][1])
-        combined = tuple(float(w) for w in logistic(np.column_stack(odds), y, ridge=0.1))
-    return Model((fitted[0][0], fitted[1][0]), (fitted[0][1], fitted[1][1]), (calibration[0], calibration[1]), combined)
+
+class Sums:
+    """For each view how many rows of each label there are (at the last place) and how often each place stands with it."""
+
+    def __init__(self):
+        self.n = np.zeros((2, 2, (1 << BITS) + 1))
+
+    def add(self, view: int, label: int, places: np.ndarray, rows: int) -> None:
+        self.n[view, label, :-1] += np.bincount(places, minlength=1 << BITS)
+        self.n[view, label, -1] += rows
+
+    def batch(self) -> pa.RecordBatch:
+        view, place = np.nonzero(self.n.sum(axis=1))
+        return pa.RecordBatch.from_arrays([pa.array(view, pa.int32()), pa.array(place, pa.int32()), *(pa.array(self.n[view, y, place].astype(np.int64)) for y in (0, 1))], names=["view", "place", "n0", "n1"])
+
+    @staticmethod
+    def of(df: DataFrame, count) -> Sums:
+        """The sums over a frame; count gives those of the batches of a task. At most 2^(BITS + 1) + 2 rows come back."""
+        out = Sums()
+        found = df.mapInArrow(lambda batches: iter([count(batches).batch()]), "view int, place int, n0 long, n1 long")
+        table = found.groupBy("view", "place").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).toArrow()
+        for y in (0, 1):
+            out.n[table["view"].to_numpy(), y, table["place"].to_numpy()] = table[f"n{y}"].to_numpy()
+        return out
+
+
+def ratios(labelled: Sums, given: Sums | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The log-ratios of both views from the labelled rows and those handed over, which weigh no more than the former."""
+    out = []
+    for view in (0, 1):
+        n = labelled.n[view].copy()
+        if given is not None:
+            for y in (0, 1):
+                rows = given.n[view, y, -1]
+                n[y] += given.n[view, y] * (min(1.0, labelled.n[view, y, -1] / rows) if rows else 0.0)
+        share = np.log((n[:, :-1] + 1) / (n[:, -1:] + 2))
+        out.append(np.where(n[:, :-1].sum(axis=0) >= LEAST, share[1] - share[0], 0.0))
+    return out[0], out[1]
+
+
+def calibrated(model: Model, means: list[np.ndarray], y: np.ndarray) -> Model:
+    """The model calibrated and combined on rows apart, given their means and labels; as it is if they lack a label."""
+    if len(set(y.tolist())) < 2:
+        return Model(model.ratios, ((1.0, 0.0), (1.0, 0.0)), (0.5, 0.5, 0.0))
+    found, odds = [], []
+    for own in means:
+        scale = max(float(np.abs(own).std()), 1e-9)
+        slope, offset = logistic((own / scale)[:, None], y, ridge=0.1)
+        found.append((float(max(slope, 0.0)) / scale, float(offset)))
+        odds.append(found[-1][0] * own + found[-1][1])
+    return Model(model.ratios, (found[0], found[1]), tuple(float(w) for w in logistic(np.column_stack(odds), y, ridge=0.1)))
 
 
 def _page_columns(docs: DataFrame, text_col: str) -> list[F.Column]:
@@ -220,20 +238,18 @@ def _found(batch: pa.RecordBatch) -> Iterator[tuple[int, int, list[tuple[np.ndar
         yield low, high, views(block, [batch.column(2 + k).slice(low, high - low) for k in range(len(METADATA))])
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", usable: F.Column | None = None, labelled: int = LABELLED, pool: int = POOL) -> Model:
-    """Fit on rows of docs. usable: a condition on the id column of labels; rows without a usable label may be in the pool."""
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", usable: F.Column | None = None, labelled: int = LABELLED, rounds: int = ROUNDS, sure: float = SURE) -> Model:
+    """Fit on docs. usable: a condition on the id column of labels; rows without a usable label count as unlabelled."""
+    _spark.whole_ids(docs, id_col)
+    spark, scratch = docs.sparkSession, _spark.Scratch(docs.sparkSession)
     agreed = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull())
     if usable is not None:
         agreed = agreed.where(usable)
-    agreed = agreed.groupBy(F.col(id_col).alias("id")).agg(F.min(label_col).cast("int").alias("label"), F.max(label_col).cast("int").alias("other")).where("label = other").select("id", "label")
-    # both lists are bounded, so small enough to send to all tasks
-    order = (F.xxhash64("id"), F.col("id"))
-    known = agreed.orderBy(*order).limit(labelled)
-    ids = docs.select(F.col(id_col).alias("id")).where("id IS NOT NULL")
-    others = ids.join(agreed, "id", "left_anti").distinct().orderBy(*order).limit(pool).select("id", F.lit(-1).alias("label"))
-    chosen = known.unionByName(others)
-    rows = _page(docs, id_col, text_col).join(F.broadcast(chosen), "id").select("id", "text", "m0", "m1", "m2", "label")
-    schema = "id long, label int, content array<int>, page array<int>"
+    agreed = agreed.groupBy(F.col(id_col).cast("long").alias("id")).agg(F.min(label_col).cast("int").alias("label"), F.max(label_col).cast("int").alias("other")).where("label = other").select("id", "label")
+    # a bounded list, so small enough to send to all tasks
+    known = agreed.orderBy(F.xxhash64("id"), "id").limit(labelled)
+    page = _page(docs, id_col, text_col).withColumn("id", F.col("id").cast("long"))
+    rows = page.join(F.broadcast(known), "id").select("id", "text", "m0", "m1", "m2", "label")
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -242,34 +258,73 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
                 for text, place in found:
                     at = np.searchsorted(text, np.arange(high - low + 1))
                     lists.append(pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(place, pa.int32())))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low).cast(pa.int64()), batch.column(5).slice(low, high - low), *lists], names=["id", "label", "content", "page"])
-
-    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        given: dict[int, tuple] = {}
-        for batch in batches:
-            for i, y, a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3), strict=True):
-                given[i] = (y, [a.values.to_numpy(), b.values.to_numpy()])
-        order = sorted(given, key=lambda i: (int(_text.mix64(np.array([i], np.int64).view(_U))[0]), i))
-        model = co_train([(given[i][1], given[i][0]) for i in order if given[i][0] >= 0], [given[i][1] for i in order if given[i][0] < 0])
-        parts = []
-        for view in (0, 1):
-            own = np.flatnonzero(model.weights[view])
-            parts += [(view, int(p), float(w)) for p, w in zip(own, model.weights[view][own], strict=True)]
-            parts += [(2 + view, 0, model.bias[view]), (4 + view, 0, model.calibration[view][0]), (6 + view, 0, model.calibration[view][1])]
-        parts += [(8 + k, 0, w) for k, w in enumerate(model.combined)]
-        yield pa.RecordBatch.from_pydict({"part": pa.array([p[0] for p in parts], pa.int32()), "place": pa.array([p[1] for p in parts], pa.int64()), "weight": pa.array([p[2] for p in parts], pa.float64())})
-
-    found = rows.withColumn("id", F.col("id").cast("long")).mapInArrow(extract, schema).repartition(1).mapInArrow(fit, "part int, place long, weight double").collect()  # the model
-    if not found:
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), batch.column(5).slice(low, high - low), *lists], names=["id", "label", "content", "page"])
+
+    found = rows.mapInArrow(extract, "id long, label int, content array<int>, page array<int>")
+    one = scratch.stored(found.groupBy("id").agg(F.min(F.struct("label", "content", "page")).alias("x")).select("id", "x.*"), "labelled")
+    ids = one.select("id", "label").orderBy(F.xxhash64("id"), "id").toArrow()  # at most labelled rows
+    order, label = ids["id"].to_numpy(), ids["label"].to_numpy()
+    apart, base = order[3::4], np.delete(order, np.s_[3::4])
+    if len(set(label[3::4].tolist())) < 2 or len(set(np.delete(label, np.s_[3::4]).tolist())) < 2:
+        apart, base = order[:0], order
+    if len(set(label.tolist())) < 2:
+        scratch.clear()
         return NEUTRAL
-    dense = [np.zeros(1 << BITS), np.zeros(1 << BITS)]
-    one: dict[int, float] = {}
-    for r in found:
-        if r["part"] < 2:
-            dense[r["part"]][r["place"]] = r["weight"]
-        else:
-            one[r["part"]] = r["weight"]
-    return Model((dense[0], dense[1]), (one[2], one[3]), ((one[4], one[6]), (one[5], one[7])), (one[8], one[9], one[10]))
+    sent = spark.sparkContext.broadcast((np.sort(apart), np.sort(order)))
+
+    def lists(batch: pa.RecordBatch, use: np.ndarray) -> tuple[pa.RecordBatch, list[tuple[np.ndarray, np.ndarray]]]:
+        batch = batch.filter(pa.array(use))
+        found = []
+        for column in ("content", "page"):
+            own = batch.column(column)
+            size = np.diff(own.offsets.to_numpy())
+            found.append((np.repeat(np.arange(len(own)), size), own.flatten().to_numpy().astype(np.int64)))
+        return batch, found
+
+    def count_base(batches: Iterator[pa.RecordBatch]) -> Sums:
+        out = Sums()
+        for batch in batches:
+            batch, found = lists(batch, ~np.isin(batch.column("id").to_numpy(), sent.value[0]))
+            y = batch.column("label").to_numpy()
+            for view, (text, place) in enumerate(found):
+                for label in (0, 1):
+                    out.add(view, label, place[y[text] == label], int((y == label).sum()))
+        return out
+
+    def calibrate(model: Model) -> Model:
+        own = spark.sparkContext.broadcast(model)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                batch, found = lists(batch, np.isin(batch.column("id").to_numpy(), sent.value[0]))
+                means = own.value.means(found, batch.num_rows)
+                yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("label"), *map(pa.array, means)], names=["id", "label", "a", "b"])
+
+        table = one.mapInArrow(run, "id long, label int, a double, b double").orderBy("id").toArrow()
+        return calibrated(model, [table[c].to_numpy() for c in ("a", "b")], table["label"].to_numpy().astype(float))
+
+    own = Sums.of(one, count_base)
+    model = calibrate(Model(ratios(own), NEUTRAL.calibration, NEUTRAL.combined))
+    for _ in range(rounds):
+        now = spark.sparkContext.broadcast(model)
+
+        def count_given(batches: Iterator[pa.RecordBatch], now=now) -> Sums:
+            out = Sums()
+            for batch in batches:
+                fresh = ~np.isin(batch.column(0).fill_null(-1).to_numpy(zero_copy_only=False), sent.value[1]) | np.asarray(batch.column(0).is_null())
+                batch = batch.filter(pa.array(fresh))
+                for low, high, found in _found(batch):
+                    for view, (rows, called) in enumerate(now.value.handed(found, high - low, sure)):
+                        to = np.full(high - low, -1)
+                        to[rows] = called
+                        text, place = found[view]
+                        for label in (0, 1):
+                            out.add(view, label, place[to[text] == label], int((called == label).sum()))
+            return out
+
+        model = calibrate(Model(ratios(own, Sums.of(page, count_given)), NEUTRAL.calibration, NEUTRAL.combined))
+    scratch.clear()
+    return model
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
