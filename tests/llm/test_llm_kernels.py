@@ -9,7 +9,7 @@ import public_tokenizers
 import pyarrow as pa
 import pytest
 
-from veilspan.llm import _text, _tokens, bpe, fingerprints, license_scan, near_dup, quality, suffix_lm, toxicity, warc
+from veilspan.llm import _text, _tokens, bpe, fingerprints, knn, license_scan, near_dup, quality, suffix_lm, toxicity, warc
 
 BYTE, WORD = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
 LETTERS = list(" \t\n\r\x0b\x0c\x1c\x1f\x85\xa0 　'''stredvmlSTL!!.,<|>ab12éßÀÅñжİſ漢😀́\x00½²ĲŁ") + ["<|endoftext|>", "<|startoftext|>", "'s", "'LL", "  ", " '"]
@@ -254,3 +254,25 @@ def test_warc_round_trip():
     assert "éx" in found["record"].decode()
     assert list(warc.derive(b"junk")) == [] and list(warc.derive(b"")) == []
     assert list(warc.derive(warc.build([("WARC-Type", "response")], b"not http")))[1]["record"].endswith(b"\r\n\r\n\r\n\r\n")
+
+
+def test_bounds_of_cells_hold_and_prune_clusters():
+    rng = np.random.default_rng(8)
+    centres = np.floor(rng.normal(size=(40, 16)) * 400)
+    cell = rng.integers(0, 40, 4000)
+    v = np.floor(centres[cell] + rng.normal(size=(4000, 16)) * 12)
+    queries = np.arange(0, 4000, 20)
+    own = [queries[cell[queries] == c] for c in range(40)]
+    radius = np.array([np.sqrt(((v[q] - centres[c]) ** 2).sum(axis=1)).max(initial=0) for c, q in enumerate(own)])
+    longest = np.array([np.sqrt((v[q] ** 2).sum(axis=1)).max(initial=0) for q in own])
+    top = np.sort(v[queries] @ v.T, axis=1)[:, -6]
+    floor = np.array([min([top[k] for k, q in enumerate(queries) if cell[q] == c], default=np.inf) for c in range(40)])
+    most = knn.uppers(v, centres, radius, longest)
+    for c, q in enumerate(own):
+        if len(q):
+            assert (v @ v[q].T <= most[:, c : c + 1]).all()
+    assert (most >= floor).mean() < 0.2
+    order = knn.chain(centres, list(range(40)))
+    group, parts = knn.grouped(order, {c: int((cell == c).sum()) for c in range(40)}, 250)
+    assert sorted(order) == list(range(40)) and set(group.values()) == set(range(len(parts))) and set(parts) == {1}
+    assert knn.grouped([0, 1, 2], {0: 5, 1: 1000, 2: 5}, 100) == ({0: 0, 1: 1, 2: 2}, [1, 10, 1])
