@@ -7,9 +7,10 @@ lambda1. What is left is a short list of (place, weight), sent to all tasks; sco
 words that hit a weight cost more than their hash.
 
 The model is fitted on at most MAX_ROWS labelled rows, those with the smallest hash of their id: the bound on the work
-of the one task that fits it. Scores are probabilities of label 1. A null or empty text has the score of the bias
+of the one task that fits it. Scores are probabilities of label 1 as they would be if both labels were equally common: the
+bias is moved by the logarithm of how much rarer label 1 is among the labelled rows. A null or empty text has the score of the bias
 alone. Labels that are null, or ids with two different labels, take no part in training. Repeated rows each get their
-score. Extra columns are ignored. Without any label the score is 0 throughout.
+score. Extra columns are ignored. Ids must be whole numbers. Without any label the score is 0 throughout.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilspan.llm import _text
+from veilspan.llm import _spark, _text
 
 #: Hash places of the features; labelled rows read in training; share of label 1 above which a text is toxic.
 BITS, MAX_ROWS, THRESHOLD = 24, 9_000, 0.7
@@ -115,6 +116,7 @@ def fit_ftrl(examples: list[tuple[np.ndarray, int]], alpha: float = ALPHA, beta:
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", usable: F.Column | None = None, max_rows: int = MAX_ROWS) -> Weights:
     """Fit on the texts of docs whose id has a label. usable: a condition on the id column of labels."""
+    _spark.whole_ids(docs, id_col)
     agreed = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull())
     if usable is not None:
         agreed = agreed.where(usable)
@@ -132,6 +134,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
                 rows += zip(ids[low:high], given[low:high], occurring(block), strict=True)
         order = _text.mix64(np.array([r[0] for r in rows], np.int64).view(np.uint64)) if rows else []
         place, weight, bias = fit_ftrl([(rows[k][2], rows[k][1]) for k in np.argsort(order, kind="stable")] if rows else [])
+        toxic = sum(r[1] for r in rows)
+        bias += float(np.log((len(rows) - toxic) / toxic)) if 0 < toxic < len(rows) else 0.0
         yield pa.RecordBatch.from_pydict({"place": pa.array([-1, *place.tolist()], pa.int64()), "weight": pa.array([bias, *weight.tolist()], pa.float64())})
 
     found = one.mapInArrow(fit, "place long, weight double").collect()  # the weights that L1 has left
