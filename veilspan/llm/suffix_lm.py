@@ -28,6 +28,7 @@ the base score divides by 0.1 (V + 1) with V = 0. An empty table gives no rows.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from collections.abc import Iterator
 
@@ -234,6 +235,27 @@ class Tree:
         return np.bincount(np.repeat(np.arange(n), np.diff(first) - DEPTH), weights=value[which], minlength=n)
 
 
+class Packed:
+    """What a tree is made of, packed, so that the driver never unfolds it: the counts of shallow contexts and, for each part
+    and depth, those of the others as (depth, size, keys, counts). tree() is made once in each worker."""
+
+    def __init__(self, shallow: list[tuple[int, np.ndarray, np.ndarray]], deep: list[tuple[int, int, bytes, bytes]], parts: tuple[int, int]):
+        self.shallow, self.deep, self.parts = shallow, deep, parts
+
+    def __getstate__(self) -> tuple:
+        return self.shallow, self.deep, self.parts
+
+    def __setstate__(self, state: tuple) -> None:
+        self.shallow, self.deep, self.parts = state
+
+    @functools.cached_property
+    def tree(self) -> Tree:
+        own = [*self.shallow, *((d, np.cumsum(_unpacked(k, n)), _unpacked(c, n)) for d, n, k, c in self.deep)]
+        depth = np.concatenate([np.full(len(k), d, np.int8) for d, k, _ in own])
+        key, n = (np.concatenate([x[i] for x in own]) for i in (1, 2))
+        return Tree(key >> 8, depth, key & 255, n, np.ones(len(key), bool), self.parts)
+
+
 def _totals(key: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For windows in order: (total, kinds, number) of each one's context."""
     first = np.flatnonzero(np.append(True, key[1:] >> 8 != key[:-1] >> 8))
@@ -250,8 +272,8 @@ def kept(key: np.ndarray, n: np.ndarray, above: np.ndarray, n_above: np.ndarray,
     return (total >= least) & (g >= gain + price * kinds)
 
 
-def grow(found: DataFrame, most: int = MOST) -> Iterator[Tree]:
-    """The trees of all passes, made as they are asked for, from gathered windows."""
+def grow(found: DataFrame, most: int = MOST) -> Iterator[Packed]:
+    """The trees of all passes, packed and made as they are asked for, from gathered windows."""
     spark = found.sparkSession
 
     def merged(table: pa.Table, depth: int) -> tuple[np.ndarray, np.ndarray]:
@@ -289,12 +311,12 @@ def grow(found: DataFrame, most: int = MOST) -> Iterator[Tree]:
         for d in range(SHALLOW + 1, DEPTH + 1):
             use = kept(*levels[d], *above, d)
             above = levels[d]
-            out.append((np.full(int(use.sum()), d), above[0][use], above[1][use]))
-        depth, key, n = (np.concatenate([o[i] for o in out]) for i in range(3))
-        return pa.table({"part": np.full(len(key), table["part"][0].as_py()), "depth": depth, "key": key, "n": n})
+            if use.any():
+                out.append((table["part"][0].as_py(), d, int(use.sum()), _packed(np.diff(above[0][use], prepend=0)), _packed(above[1][use])))
+        return pa.table({c: pa.array([o[i] for o in out], kind) for i, (c, kind) in enumerate((("part", pa.int64()), ("depth", pa.int64()), ("n", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary())))})
 
-    deep = _spark.stored(level.groupBy("part").applyInArrow(part, "part long, depth long, key long, n long"), "tree")
-    size = {r["part"]: r["n"] for r in deep.groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect()}
+    deep = _spark.stored(level.groupBy("part").applyInArrow(part, "part long, depth long, n long, keys binary, counts binary"), "tree")
+    size = {r["part"]: r["n"] for r in deep.groupBy("part").agg(F.sum("n").alias("n")).collect()}
     cuts, held = [0], 0
     for k in range(PARTS):
         if held and held + size.get(k, 0) > most:
@@ -302,10 +324,9 @@ def grow(found: DataFrame, most: int = MOST) -> Iterator[Tree]:
             held = 0
         held += size.get(k, 0)
 
-    def tree(a: int, b: int) -> Tree:
-        own = deep.where(F.col("part").between(a, b - 1)).select("depth", "key", "n").toArrow()  # at most most counts, or one part
-        depth, key, n = (np.concatenate([np.concatenate([np.full(len(x[1]), x[0]) if i == 0 else x[i] for x in shallow]), own[c].to_numpy()]) for i, c in enumerate(("depth", "key", "n")))
-        return Tree(key >> 8, depth, key & 255, n, np.ones(len(key), bool), (a, b))
+    def tree(a: int, b: int) -> Packed:
+        own = deep.where(F.col("part").between(a, b - 1)).orderBy("part", "depth").collect()  # at most most counts, packed, or one part
+        return Packed(shallow, [(r["depth"], r["n"], bytes(r["keys"]), bytes(r["counts"])) for r in own], (a, b))
 
     for a, b in zip(cuts, [*cuts[1:], PARTS], strict=True):
         yield tree(a, b)
@@ -341,12 +362,12 @@ def base_scores(gathered: DataFrame) -> tuple[DataFrame, int]:
     return scored.groupBy("key").agg(F.min("n_known").alias("n_known"), F.min("base_score").alias("base_score")), tokens
 
 
-def tree_scores(df: DataFrame, tree: Tree, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def tree_scores(df: DataFrame, tree: Packed, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, key, n_tokens, score) of each row."""
     sent = df.sparkSession.sparkContext.broadcast(tree)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = sent.value
+        own = sent.value.tree
         for batch in batches:
             for low, high, block in _text.blocks(batch.column(1), 2 * _text.BLOCK_BYTES):
                 symbols, first, tokens = stream(block)
