@@ -93,10 +93,28 @@ def test_external_detectors(spark):
     df = texts(spark, "a cat", "none", "sk_live_" + "a" * 20 + " and sk_live_" + "a" * 20)
     out = S.redact(detectors.gather(df, "id"), external="external").orderBy("id").collect()
     assert [r.redacted for r in out] == ["a [PERSON_1]", "none", "[SECRET_1] and [SECRET_1]"]
+    assert detectors.gather(df, "id").select("errors").distinct().collect() == [(["broken: AnalysisException"],)]
+    assert detectors.gather(df, "id", names=["cats"]).select("errors").distinct().collect() == [([],)]
     with pytest.raises(Exception):
         detectors.gather(df, "id", names=["broken"], strict=True)
 
 
+def test_answers(spark):
+    df = spark.createDataFrame(
+        [("o", '{"a": "to [EMAIL_1]"}', "application/json", {"[EMAIL_1]": 'q"@x'}), ("p", "[EMAIL_1] [EMAIL_2]", "text/plain", {}), ("o", None, None, None), ("o", '{"a":  1}', "application/json", None)],
+        "s string, body string, content_type string, originals map<string,string>",
+    )
+    known = spark.createDataFrame([("o", "[EMAIL_1]", 'say "x"'), ("p", "[EMAIL_2]", "y")], "s string, surrogate string, value string")
+    own = [r.restored for r in requests.answer(df).collect()]
+    assert json.loads(own[0]) == {"a": 'to q"@x'} and own[1:3] == ["[EMAIL_1] [EMAIL_2]", None]
+    scoped = {r.body: r.restored for r in requests.answer(df, rehydrate="scope", mapping=known, scope=["s"]).collect()}
+    assert json.loads(scoped.pop('{"a": "to [EMAIL_1]"}')) == {"a": 'to say "x"'}  # quotes in an original stay valid JSON
+    assert scoped == {"[EMAIL_1] [EMAIL_2]": "[EMAIL_1] y", None: None, '{"a":  1}': '{"a":  1}'}
+    assert [r.restored for r in requests.answer(df, rehydrate="none").collect()] == [r.body for r in df.collect()]
+    with pytest.raises(ValueError):
+        requests.answer(df, rehydrate="scope")
+
+
 def test_payloads(spark):
     rows = [
         (0, '{"messages":[{"role":"user","content":"a@x.example"}],"max_tokens":7,"n":1.50}', "application/json"), (1, '{"a":"a@x.example"}\n{"a":"b@x.example"}', "application/x-ndjson"), (2, "plain a@x.example", None), (3, None, None),

@@ -27,16 +27,19 @@ def registered() -> dict[str, Detector]:
 
 
 def gather(df: DataFrame, id_col: str, text_col: str = "text", names: Sequence[str] | None = None, strict: bool = False) -> DataFrame:
-    """df with a column external: the valid findings of detectors, as candidates. A finding whose bounds don't fit its text
-    is left out; with strict, a detector that raises while it plans stops the query, else it is skipped."""
+    """df with two columns. external: the valid findings of detectors, as candidates; a finding whose bounds don't fit its
+    text is left out. errors: the detectors that raised while they planned, each as name and reason; they are skipped, or stop
+    the query with strict. What a detector raises while rows run always stops the query."""
     base = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    parts = []
+    parts, errors = [], []
     for name in names if names is not None else _registered:
         try:
             parts.append(_registered[name](base).select("id", "entity", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), "value"))
-        except Exception:
+        except Exception as error:
             if strict:
                 raise
+            errors.append(f"{name}: {type(error).__name__}")
+    df = df.withColumn("errors", F.array(*map(F.lit, errors)).cast("array<string>"))
     if not parts:
         return df.withColumn("external", F.array().cast("array<struct<ord:int,entity:string,priority:int,start:bigint,end:bigint,value:string>>"))
     found = parts[0]

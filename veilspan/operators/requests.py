@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veilspan.operators import payload, reports
+from veilspan.operators import payload, reports, surrogates
 from veilspan.operators import spans as S
 
 # Headers that concern one connection, and headers that tell who asks.
@@ -136,7 +136,8 @@ def finding_headers(counts: Column) -> Column:
 
 def process(df: DataFrame, id_col: str, deny: Sequence[str] = (), max_body: int = MAX_BODY, policy: payload.Policy | None = None, scope: dict | None = None, **options) -> DataFrame:
     """Requests (id, headers, query, body, content_type) to what goes on: scope, sanitized body and query, findings over
-    both, denied types, and status: 401 without a scope, 413 for a body too large, 400 if a type is denied, else 200."""
+    both, denied types, and status: 401 without a scope, 413 for a body too large, 400 if a type is denied, else 200; also the
+    originals of the body's placeholders, which answer() turns back, and path if df has it."""
     rows = resolve_scope(df, **(scope or {}))
     early = F.when(F.col("rejected").isNotNull(), 401).when(~within(F.col("body"), max_body), 413)
     rows = scrub_query(rows.withColumn("status", early), "query", **options)
@@ -146,7 +147,7 @@ def process(df: DataFrame, id_col: str, deny: Sequence[str] = (), max_body: int
     none = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<int>"))
     out = rows.withColumn("findings", F.when(F.col("status").isNull(), reports.merge(F.coalesce("findings", none), F.coalesce("query_findings", none))).otherwise(none))
     out = out.withColumn("denied", reports.denied(F.col("findings"), deny)).withColumn("request_id", request_id(F.col("headers"))).withColumn("model", model_name(F.col("body")))
-    return out.withColumn("status", F.coalesce("status", F.when(F.size("denied") > 0, 400).otherwise(200))).select(id_col, "org_id", "workspace_id", "conversation_id", "user_id", "request_id", "model", "rejected", "sanitized", "scrubbed_query", "findings", "denied", "status")
+    return out.withColumn("status", F.coalesce("status", F.when(F.size("denied") > 0, 400).otherwise(200))).select(id_col, "org_id", "workspace_id", "conversation_id", "user_id", "request_id", "model", "rejected", "sanitized", "scrubbed_query", "findings", "denied", "status", "originals", *[c for c in ("path",) if c in df.columns])
 
 
 def audit(processed: DataFrame, now: Column) -> DataFrame:
@@ -155,6 +156,35 @@ def audit(processed: DataFrame, now: Column) -> DataFrame:
     return done.select("org_id", "workspace_id", "conversation_id", "user_id", F.coalesce(F.when(F.trim("request_id") != "", F.col("request_id")), F.lit("unknown")).alias("request_id"), F.col("model").alias("upstream_model"), "findings", (F.size("denied") > 0).alias("denied"), F.col("status").alias("status_code"), now.alias("created_at"))
 
 
-def echo(processed: DataFrame, id_col: str) -> DataFrame:
-    """The report of a request as JSON."""
-    return processed.select(id_col, F.to_json(F.struct("org_id", "workspace_id", "conversation_id", "user_id", "model", F.col("sanitized").alias("body"), F.col("scrubbed_query").alias("query"), "findings", reports.total(F.col("findings")).alias("total"))).alias("echo"))
+def echo(processed: DataFrame, id_col: str, elapsed_ms: Column | None = None, json_mode: str = "schema", rehydrates: bool = False, show_path: bool = False) -> DataFrame:
+    """The report of each request that goes on, as JSON. The path is shown only if asked for and known."""
+    path = F.col("path") if show_path and "path" in processed.columns else F.lit("redacted")
+    fields = {
+        "elapsed_ms": F.lit(0).cast("long") if elapsed_ms is None else elapsed_ms,
+        "findings": F.map_from_entries(F.array_sort(F.map_entries("findings"))),
+        "json_mode": F.lit(json_mode),
+        "mode": F.lit("echo"),
+        "path": path,
+        "redacted": reports.total(F.col("findings")) > 0,
+        "response_rehydration_on": F.lit(rehydrates),
+        "sanitized_body": F.coalesce("sanitized", F.lit("")),
+        "sanitized_query": F.coalesce("scrubbed_query", F.lit("")),
+    }
+    report = F.to_json(F.struct(*[c.alias(name) for name, c in fields.items()]))
+    return processed.where("status = 200").select(id_col, report.alias("echo"))
+
+
+def answer(df: DataFrame, body_col: str = "body", type_col: str = "content_type", rehydrate: str = "request", originals_col: str = "originals", mapping: DataFrame | None = None, scope: Sequence[str] = surrogates.SCOPE) -> DataFrame:
+    """df with a column restored: the body of a response with placeholders turned back, in each string of a JSON body or in
+    plain text. rehydrate: none, request (the originals of the row's own request, a map from placeholders) or scope (mapping's
+    (scope, surrogate, value), all that the scope holds)."""
+    if rehydrate == "none":
+        return df.withColumn("restored", F.col(body_col))
+    if rehydrate == "request":
+        return payload.rehydrate(df, originals_col, body_col, type_col)
+    if rehydrate != "scope" or mapping is None:
+        raise ValueError("rehydrate must be none, request, or scope with a mapping")
+    held = surrogates.scope_originals(df, mapping, scope, body_col, "__map")
+    whole = payload.rehydrate(held, "__map", body_col, type_col)
+    # a body that holds no known placeholder stays as it is written
+    return whole.withColumn("restored", F.when(F.col("__map").isNull(), F.col(body_col)).otherwise(F.col("restored"))).drop("__map")

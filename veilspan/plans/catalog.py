@@ -177,6 +177,14 @@ def _restored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return surrogates.restore_scoped(hidden, _mapping(spark, sf_dir), surrogates.SCOPE, "redacted").select("conv_id", "turn", F.col("restored").alias("text"))
 
 
+def _restored_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hidden = surrogates.rewrite_scoped(_talk(spark, sf_dir), ["conv_id", "turn"], surrogates.SCOPE, order=["turn"])
+    bodies = hidden.withColumns({"body": F.to_json(F.struct(F.col("redacted").alias("said"))), "content_type": F.lit("application/json")})
+    back = requests.answer(bodies, rehydrate="scope", mapping=_mapping(spark, sf_dir))
+    return back.select("conv_id", "turn", F.get_json_object("restored", "$.said").alias("text"))
+
+
+_add("rehydrate_scope_json", _restored_json, f"SELECT conv_id, turn, text FROM ({_TALK})")
 _add("rehydrate_scope", _restored, f"SELECT conv_id, turn, text FROM ({_TALK})")
 
 
@@ -302,10 +310,10 @@ def _claims(spark: SparkSession, sf_dir: str) -> DataFrame:
 _add("claims", _claims, "SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN 's' || c_custkey ELSE 'u' || c_custkey || '@example.com' END AS user_id, 'g' || c_custkey % 4 || ',7,r' AS groups, c_custkey % 4 IN (1, 2) AS allowed FROM customer")
 
 
-def _processed(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _processed(spark: SparkSession, sf_dir: str, deny: tuple[str, ...] = ("ip_address",)) -> DataFrame:
     body = """concat('{"model":"m","prompt":"reach 10.1.2.', c_custkey % 300, ' or a', c_custkey % 9, '@example.com"}')"""
     rows = _table(spark, sf_dir, "customer").selectExpr("c_custkey as id", f"{_HEADERS} as headers", "concat('q=u', c_custkey, '%40example.com') as query", f"case when c_custkey % 11 = 0 then concat('{{', repeat('x', 3000)) else {body} end as body", "'application/json' as content_type")
-    return requests.process(rows, "id", deny=["ip_address"], max_body=2048)
+    return requests.process(rows, "id", deny=deny, max_body=2048)
 
 
 _STATUS = "CASE WHEN c_custkey % 6 = 0 THEN 401 WHEN c_custkey % 11 = 0 THEN 413 WHEN c_custkey % 300 < 256 THEN 400 ELSE 200 END"
@@ -314,6 +322,17 @@ _add("request_process", lambda spark, d: _processed(spark, d).select("id", "stat
 _add("audit_rows", lambda spark, d: requests.audit(_processed(spark, d), F.timestamp_seconds(F.lit(0))).groupBy("org_id", "upstream_model", "denied", "status_code").agg(F.count(F.lit(1)).alias("requests"), F.count_distinct("request_id").alias("ids")), f"SELECT org_id, 'm' AS upstream_model, status = 400 AS denied, status AS status_code, count(*) AS requests, count(DISTINCT c_custkey) AS ids FROM (SELECT c_custkey, CASE WHEN c_custkey % 4 = 0 THEN 'default' ELSE 'o' || c_custkey % 7 END AS org_id, {_STATUS} AS status FROM customer) WHERE status NOT IN (401, 413) GROUP BY ALL")
 
 
+def _echo(spark: SparkSession, sf_dir: str) -> DataFrame:
+    report = F.from_json("echo", "mode string, path string, json_mode string, redacted boolean, elapsed_ms long, response_rehydration_on boolean, sanitized_query string, sanitized_body string, findings map<string,int>")
+    read = requests.echo(_processed(spark, sf_dir, deny=()), "id").select("id", report.alias("r")).select("id", "r.*")
+    return read.withColumn("findings", reports.compact(F.col("findings")))
+
+
+_add("echo_report", _echo, f"""SELECT id, 'echo' AS mode, 'redacted' AS path, 'schema' AS json_mode, true AS redacted, 0::BIGINT AS elapsed_ms,
+  false AS response_rehydration_on, 'q=%5BEMAIL_1%5D' AS sanitized_query, findings, sanitized AS sanitized_body
+FROM ({_sql["request_process"]}) WHERE status IN (200, 400)""")
+
+
 # model tokens
 
 _TOKENS = """array(
