@@ -156,13 +156,14 @@ def audit(processed: DataFrame, now: Column) -> DataFrame:
     return done.select("org_id", "workspace_id", "conversation_id", "user_id", F.coalesce(F.when(F.trim("request_id") != "", F.col("request_id")), F.lit("unknown")).alias("request_id"), F.col("model").alias("upstream_model"), "findings", (F.size("denied") > 0).alias("denied"), F.col("status").alias("status_code"), now.alias("created_at"))
 
 
-def echo(processed: DataFrame, id_col: str, elapsed_ms: Column | None = None, json_mode: str = "schema", rehydrates: bool = False, show_path: bool = False) -> DataFrame:
-    """The report of each request that goes on, as JSON. The path is shown only if asked for and known."""
+def echo(processed: DataFrame, id_col: str, elapsed_ms: Column | None = None, policy: payload.Policy | None = None, rehydrates: bool = False, show_path: bool = False) -> DataFrame:
+    """The report of each request that goes on, as JSON. The path is shown only if asked for and known.
+    policy: the one that process() was given."""
     path = F.col("path") if show_path and "path" in processed.columns else F.lit("redacted")
     fields = {
         "elapsed_ms": F.lit(0).cast("long") if elapsed_ms is None else elapsed_ms,
         "findings": F.map_from_entries(F.array_sort(F.map_entries("findings"))),
-        "json_mode": F.lit(json_mode),
+        "json_mode": F.lit((policy or payload.Policy()).json_mode),
         "mode": F.lit("echo"),
         "path": path,
         "redacted": reports.total(F.col("findings")) > 0,

@@ -328,7 +328,7 @@ def _echo(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.withColumn("findings", reports.compact(F.col("findings")))
 
 
-_add("echo_report", _echo, f"""SELECT id, 'echo' AS mode, 'redacted' AS path, 'schema' AS json_mode, true AS redacted, 0::BIGINT AS elapsed_ms,
+_add("echo_report", _echo, f"""SELECT id, 'echo' AS mode, 'redacted' AS path, 'all_strings' AS json_mode, true AS redacted, 0::BIGINT AS elapsed_ms,
   false AS response_rehydration_on, 'q=%5BEMAIL_1%5D' AS sanitized_query, findings, sanitized AS sanitized_body
 FROM ({_sql["request_process"]}) WHERE status IN (200, 400)""")
 
